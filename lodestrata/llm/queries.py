@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, line_dedup
+from lodestrata.llm import decontam, line_dedup, minhash, quality
+from lodestrata.llm.text import WORD_RE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,21 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents")).drop("_nd_h")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": op3_minhash,
+    "op5_quality": op5_quality,
     "op7_line_dedup": op7_line_dedup,
     "op10_decontam": op10_decontam,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash": minhash.ORACLE % {"word": WORD_RE, "threshold": minhash.THRESHOLD},
     "op7_line_dedup": line_dedup.ORACLE,
 }
