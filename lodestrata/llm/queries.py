@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, line_dedup, minhash, quality
+from lodestrata.llm import decontam, line_dedup, minhash, packing, quality, sharding
 from lodestrata.llm.text import WORD_RE
 
 
@@ -32,10 +32,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op9_packing": op9_packing,
     "op10_decontam": op10_decontam,
 }
 ORACLE_SQL: dict[str, str] = {
