@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, line_dedup, minhash, packing, quality, sharding
+from lodestrata.llm import decontam, licenses, line_dedup, minhash, packing, quality, secrets, sharding
 from lodestrata.llm.text import WORD_RE
 
 
@@ -32,6 +32,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_minhash": op3_minhash,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
