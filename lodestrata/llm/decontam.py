@@ -118,30 +118,55 @@ class Index:
                     out.setdefault(n, set()).update(range(max(0, p - off - d), max(0, min(len(h) - 1, p - off + d)) + 1))
         return out
 
-    def candidates(self, h: np.ndarray, n: int, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) that meet in a table."""
-        padded = np.concatenate([h, np.full(n, PAD)])
-        rows = padded[starts[:, None] + np.arange(n)]
-        found: set[tuple[int, int]] = set()
-        for walk in range(self.walks):
-            for raw, t in zip(self.keys(rows, n, walk), self.lsh[n][walk]):
-                width = len(raw) // len(rows)
-                for r, s in enumerate(starts.tolist()):
-                    found.update((x, s) for x in t.get(raw[r * width : r * width + width], ()))
-        return found
-
-    def search(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """item_id, first word, end and distance of the best place of each item."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for n, starts in self.windows(h).items():
-            d = self.most(n)
-            for x, s in self.candidates(h, n, np.array(sorted(starts))):
-                i, item = self.items[x]
-                for size in range(max(1, n - d), min(n + d, len(h) - s) + 1):
-                    got = edit_distance(item, h[s : s + size], d)
-                    if got <= d and (i not in best or (got, s, s + size) < best[i]):
-                        best[i] = (got, s, s + size)
-        return [(i, s, e, d) for i, (d, s, e) in sorted(best.items())]
+    def search(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """doc index, item_id, first word, end and distance of the best place of
+        each item in each document. Windows of all documents are embedded together."""
+        where: dict[int, list[tuple[int, int]]] = {}
+        for x, h in enumerate(docs):
+            for n, starts in self.windows(h).items():
+                where.setdefault(n, []).extend((x, s) for s in sorted(starts))
+        near: dict[tuple[int, int], set[int]] = {}
+        for n, spots in where.items():
+            rows = np.full((len(spots), n), PAD)
+            for r, (x, s) in enumerate(spots):
+                part = docs[x][s : s + n]
+                rows[r, : len(part)] = part
+            for walk in range(self.walks):
+                for raw, t in zip(self.keys(rows, n, walk), self.lsh[n][walk]):
+                    width = len(raw) // len(rows)
+                    for r, (x, s) in enumerate(spots):
+                        for item in t.get(raw[r * width : r * width + width], ()):
+                            near.setdefault((x, item), set()).add(s)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (x, item), starts in near.items():
+            i, words = self.items[item]
+            got = nearest(words, docs[x], np.array(sorted(starts)), self.most(len(words)))
+            if got and ((x, i) not in best or got < best[x, i]):
+                best[x, i] = got
+        return [(x, i, s, e, d) for (x, i), (d, s, e) in sorted(best.items())]
+
+
+def nearest(item: np.ndarray, h: np.ndarray, starts: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """The least (distance, start, end) of item to the runs of h that begin at
+    starts, if within most. One programme gives all starts and ends together."""
+    width = len(item) + most
+    at = starts[:, None] + np.arange(width)
+    inside = at < len(h)
+    text = h[np.minimum(at, len(h) - 1)]
+    col = np.arange(width + 1)
+    row = np.repeat(col[None, :], len(starts), 0)
+    for n, word in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[:, 0] = n
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + ((text != word) | ~inside))
+        row = np.minimum.accumulate(new - col, axis=1) + col
+    row[:, 1:][~inside] = most + 1
+    row[:, 0] = most + 1
+    least = int(row.min())
+    if least > most:
+        return None
+    r, c = np.argwhere(row == least)[0]
+    return least, int(starts[r]), int(starts[r] + c)
 
 
 def grams(h: np.ndarray, q: int) -> np.ndarray:
@@ -155,9 +180,20 @@ def gram(h: np.ndarray) -> np.ndarray:
     return grams(h, len(h))[0]
 
 
+#: Words of documents with hits that are searched together.
+TOGETHER = 1 << 20
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = [(held[x][0], *r) for x, *r in index.search([h for _, h in held])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], ITEM.field(c).type) for c in range(5)], schema=ITEM)
+
         for batch in batches:
             for part in chunks(batch):
                 w = words(part.column("text"))
@@ -168,10 +204,11 @@ def _scan(shared):
                         g = grams(w.hash, q)
                         at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
                         hit[: len(g)] |= keys[at] == g
-                rows = []
                 for d in np.unique(np.searchsorted(w.offs, np.flatnonzero(hit), "right") - 1):
-                    rows += [(ids[d], *r) for r in index.search(w.hash[w.offs[d] : w.offs[d + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], ITEM.field(c).type) for c in range(5)], schema=ITEM)
+                    held.append((ids[d], w.hash[w.offs[d] : w.offs[d + 1]].copy()))
+                if sum(len(h) for _, h in held) > TOGETHER:
+                    yield flush()
+        yield flush()
 
     return run
 
