@@ -38,7 +38,7 @@ from lodestrata.runtime import checkpoint_dir, cut
 
 LEAST, SEED = 50, 8
 #: Words of a shard's suffix array.
-PER_SHARD = 1_000_000
+PER_SHARD = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str | None:

@@ -2,7 +2,7 @@
 
 The sort follows the eSAIS scheme. Suffixes are of type S or L; those of the
 leftmost S of each run (LMS) are sorted first, by naming their substrings and
-recursing on the names; all others are induced from them: the sorted suffixes
+recursing on the names (in memory once they are few); all others are induced from them: the sorted suffixes
 are read bucket by bucket, and each puts its left neighbour into a priority
 queue as a tuple (first symbol, arrival, position, common prefix with the tuple
 of the same symbol before it). The queue's keys only rise (L) or fall (S), so it
@@ -29,6 +29,8 @@ from collections.abc import Iterator
 import numpy as np
 
 I64 = np.int64
+#: Names that a recursion sorts in memory rather than by inducing them.
+BASE = 1 << 20
 #: Tuples that a queue holds in memory before it writes them to its files.
 HELD = 1 << 21
 
@@ -203,20 +205,40 @@ def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, got: np.ndarray) ->
     return out
 
 
-def sort(text: np.ndarray, folder: str | None = None, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+def doubled(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by prefix doubling, for a recursion that fits into memory. The
+    ranks of each round give the common prefixes."""
+    n, rank, ranks = len(names), names, [names]
+    while int(rank.max()) < n - 1:
+        step = 1 << len(ranks) - 1
+        after = np.zeros(n, I64)
+        after[: n - step] = rank[step:] + 1
+        rank = _dense(rank * (n + 1) + after)[0]
+        ranks.append(rank)
+    order = np.argsort(rank)
+    a, b, got = order[:-1], order[1:], np.zeros(n - 1, I64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + got, b + got
+        ok = (x < n) & (y < n)
+        ok[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
+        got[ok] += 1 << k
+    return order, np.concatenate([[0], got])
+
+
+def sort(text: np.ndarray, folder: str | None = None, held: int = HELD, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of text and, for each entry, the symbols that it shares with
     the entry before. The last symbol of text must be less than all others."""
     if not folder:
-        return _sort(np.asarray(text, I64), None, held)
+        return _sort(np.asarray(text, I64), None, held, base)
     work = os.path.join(folder, uuid.uuid4().hex)
     os.makedirs(work)
     try:
-        return _sort(np.asarray(text, I64), work, held)
+        return _sort(np.asarray(text, I64), work, held, base)
     finally:
         shutil.rmtree(work, ignore_errors=True)
 
 
-def _sort(plain: np.ndarray, work: str | None, held: int) -> tuple[np.ndarray, np.ndarray]:
+def _sort(plain: np.ndarray, work: str | None, held: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(plain)
     if n < 2:
         return np.arange(n), np.zeros(n, I64)
@@ -226,9 +248,11 @@ def _sort(plain: np.ndarray, work: str | None, held: int) -> tuple[np.ndarray, n
     rank, distinct = _dense(names(text, lms))
     if distinct == len(lms):
         order, common = np.argsort(rank), np.zeros(len(lms), I64)
+    elif len(rank) <= base:
+        order, common = doubled(rank)
     else:
         # names of the recursion end with that of the last LMS, which is least
-        order, common = _sort(rank, work, held)
+        order, common = _sort(rank, work, held, base)
     sorted_lms = lms[order]
     if len(lms) > 1:
         a, b = sorted_lms[:-1], sorted_lms[1:]
