@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, licenses, line_dedup, minhash, packing, quality, secrets, sharding, suffix_dedup
+from lodestrata.llm import chaining, decontam, licenses, line_dedup, minhash, packing, quality, secrets, sharding, suffix_dedup
 from lodestrata.llm.text import WORD_RE
 
 
@@ -36,6 +36,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_chaining": op2_chaining,
     "op3_minhash": op3_minhash,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
