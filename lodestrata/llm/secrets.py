@@ -57,8 +57,10 @@ WRAPPED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+
 #: What any rule or wrapping needs, as one linear pattern.
 SIFT = rf"{WRAPPED}|xox[abprs]-|PRIVATE KEY|://[^\s/:@]+:|(?i:key|secret|token|passwd|password|pwd|credential)[\"']?\s*[:=]"
 
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
+#: One character at a time, so that spans are exact.
+_HEX, _NEXT = "[0-9A-Fa-f]", "%[89ABab][0-9A-Fa-f]"
+URL = re.compile(f"%[CDcd]{_HEX}{_NEXT}|%[Ee]{_HEX}{_NEXT}{_NEXT}|%[Ff][0-4]{_NEXT}{_NEXT}{_NEXT}|%{_HEX}{{2}}")
+UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
 
 

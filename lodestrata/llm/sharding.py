@@ -3,10 +3,13 @@
 A partial partition is a tuple of k bin sums. The two of largest spread (largest
 less smallest sum) are combined again and again, the largest bin of one with the
 smallest of the other, until one partition is left; smaller groups so balance
-the differences that larger ones left. Because partial partitions combine in the
-same way as single groups, the work is a tree: tasks difference about
-`per_task` groups each, then their partitions, `fan` at a time, are differenced
-until one is left. Each level is a shuffle of k rows a task.
+the differences that larger ones left.
+
+Differencing is one sequence, so its input is bounded at any size: groups of less
+than 1 / (k * FINE) of all bytes are first bundled, each whole, up to that
+weight. At most 2 * k * FINE bundles and larger groups, and one bundle more for
+every NODE groups, then go to one task. Bundles are so fine that the balance is
+as tight as a bundle at worst.
 
 Groups default to documents of equal text, so copies never part. A group's
 weight is the UTF-8 bytes of its texts.
@@ -23,13 +26,14 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.runtime import cut
 
 SHARDS = 64
-PER_TASK, FAN = 20_000, 500
+#: Bundles a shard, and groups that are bundled by one task.
+FINE, NODE = 256, 1_000_000
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,41 +78,29 @@ def single(weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s, to[:, 0]
 
 
-def _leaf(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["w", "g"], ascending=[False, True], kind="stable")
-        _, slot = single(pdf["w"].to_numpy(), k)
-        return pd.DataFrame({"g": pdf["g"], "w": pdf["w"], "node": pdf["node"], "slot": slot})
-
-    return run
+KEY = ["node", "part", "alone"]
 
 
-def _inner(k: int):
+def _difference(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, row = np.unique(pdf["node"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(nodes), k), np.int64)
-        sums[row, pdf["slot"].to_numpy()] = pdf["w"].to_numpy()
-        _, to = difference(sums)
-        up = int(pdf["up"].iloc[0])
-        r, c = np.divmod(np.arange(len(nodes) * k), k)
-        return pd.DataFrame({"node": nodes[r], "slot": c, "up": up, "to_slot": to[r, c], "w": sums[r, c]})
+        pdf = pdf.sort_values(["w", *KEY], ascending=[False, True, True, True], kind="stable")
+        _, slot = single(pdf["w"].to_numpy(), k)
+        return pdf[KEY].assign(shard=slot)
 
     return run
 
 
-def balance(groups: DataFrame, k: int, per_task: int = PER_TASK, fan: int = FAN) -> DataFrame:
+def balance(groups: DataFrame, k: int, fine: int = FINE, per_node: int = NODE) -> DataFrame:
     """g, w, shard for groups (g long, w long)."""
-    n = groups.count()
-    nodes = max(1, -(-n // per_task))
-    leaf = cut(groups.withColumn("node", F.pmod(F.xxhash64("g"), F.lit(nodes))).groupBy("node").applyInPandas(_leaf(k), "g long, w long, node long, slot int"))
-    placed = leaf
-    while nodes > 1:
-        above = -(-nodes // fan)
-        sums = placed.groupBy("node", "slot").agg(F.sum("w").alias("w")).withColumn("up", F.pmod(F.col("node"), F.lit(above)))
-        moves = cut(sums.groupBy("up").applyInPandas(_inner(k), "node long, slot int, up long, to_slot int, w long"))
-        placed = placed.join(moves.drop("w"), ["node", "slot"]).select("g", "w", F.col("up").alias("node"), F.col("to_slot").alias("slot"))
-        nodes = above
-    return placed.select("g", "w", F.col("slot").alias("shard"))
+    n, total = groups.agg(F.count("*"), F.sum("w")).first()
+    size = max(1, -(-(total or 0) // (k * fine)))
+    small = F.col("w") < size
+    node = F.pmod(F.xxhash64("g"), F.lit(max(1, -(-n // per_node))))
+    before = F.sum(F.when(small, F.col("w")).otherwise(0)).over(Window.partitionBy("node").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    keyed = groups.withColumn("node", node).withColumns({"part": F.when(small, F.floor(before / size)).otherwise(-1).cast("long"), "alone": F.when(small, 0).otherwise(F.col("g"))})
+    bundles = keyed.groupBy(*KEY).agg(F.sum("w").alias("w"))
+    placed = bundles.groupBy(F.lit(0).alias("all")).applyInPandas(_difference(k), "node long, part long, alone long, shard int")
+    return keyed.join(placed, KEY).select("g", "w", "shard")
 
 
 def shards(docs: DataFrame, k: int = SHARDS, group: Column | None = None, **kw) -> DataFrame:
