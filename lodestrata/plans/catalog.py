@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import patterns as P
-from lodestrata.operators import components, diff, evaluate, graph, history, observe, report, rules, symbols, vectors
+from lodestrata.operators import community, components, context, diff, evaluate, extract, graph, history, incremental, observe, report, rules, symbols, vectors
 from lodestrata.sources.projection import CTE, Relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,3 +533,160 @@ def rank_correlation(r):
     h = _hot(r)
     out = evaluate.spearman(h.select(F.col("id").alias("item"), F.col("churn").alias("score")), h.select(F.col("id").alias("item"), "score"))
     return out.withColumn("rho", F.round("rho", 6))
+
+
+# more sections
+
+@query(""", p as (select id, package, churn, authors from files left join ch90 on file_id = id), h as (select id from hot order by score desc, hot.id limit 50),
+s as (select id from shown join ch90 on ch90.file_id = id join own90 on own90.file_id = id where bus_factor <= 1)
+select package, count(*) as files, coalesce(sum(churn), 0) as churn, coalesce(max(authors), 0) as authors, count(*) filter (id in (select id from h)) as hotspots, count(*) filter (id in (select id from s)) as silos from p group by 1""")
+def package_summary(r):
+    silos = report.silos(_shown(r), _churn90(r), history.ownership(_lines90(r)), None)
+    return context.package_summary(r.files, _churn90(r), _hot(r, 50), silos)
+
+
+@query(""" select file_a, file_b, n as count from pairs where not exists (select 1 from edges where src = file_a and dst = file_b and weight >= 3)""")
+def hidden_coupling(r):
+    return context.hidden_coupling(_pairs(r), r.edges.where("weight >= 3")).select("file_a", "file_b", "count")
+
+
+@query(BARREL + """, u as (select dst as id, sum(weight) as u from resolved group by 1), b as (select id, round(u * cognitive_max * churn, 6) as risk from files join u using (id) join ch90 on file_id = id)
+select id, risk, row_number() over (order by risk desc, id) as rank from b where risk > 0 order by risk desc, id limit 15""", recursive=True)
+def blast_radius(r):
+    used = graph.utilization(graph.resolve_barrels(r.files, r.edges))
+    return report.blast_radius(r.files, used, _churn90(r)).select("id", "risk", "rank")
+
+
+@query(""", c as (select id, id % 101 as pct from files), k as (select id, score, cast(floor(score * (1 - pct / 100.0) + 0.5) as bigint) as risk from hot join c using (id))
+select id, risk, row_number() over (order by risk desc, id) as rank from k where risk > 0 order by risk desc, id limit 10""")
+def untested_risk(r):
+    return report.untested_risk(_hot(r), r.files.select("id", (F.col("id") % 101).alias("coverage_pct"))).select("id", "risk", "rank")
+
+
+@query("""select kind, subject, array_to_string(list_sort(answer), ',') as answer from (select *, row_number() over (partition by kind order by len(answer) desc, subject) as rn from (
+select 'dependencies' as kind, src as subject, list(distinct dst) as answer from edges group by 2 union all select 'reverse-dependencies', dst, list(distinct src) from edges group by 2
+union all select 'production-consumers', dst, list(distinct src) from edges where src not in (select id from files where role in ('test', 'fixture')) group by 2)) where rn <= 12""", windows=False)
+def comprehension_tasks(r):
+    return context.tasks(r.edges, r.files).select("kind", "subject", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer"))
+
+
+@query("""select target, array_to_string(list_sort(list(distinct src) filter (role not in ('test', 'fixture'))), ',') as source_consumers, array_to_string(list_sort(list(distinct src) filter (role in ('test', 'fixture'))), ',') as test_consumers
+from (select dst as target, src, role from edges join files on id = src) group by 1""", windows=False)
+def consumers_by_role(r):
+    out = symbols.split_consumers(r.edges.select(F.col("dst").alias("target"), F.col("src").alias("importer")), r.files)
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return out.select("target", text("source_consumers"), text("test_consumers"))
+
+
+@query(""", u as (select dst as id, sum(weight) as u from edges group by 1), s as (select files.id, package, role = 'entry' as exported, coalesce(u, 0) as u from files left join u using (id))
+select id, rank from (select *, row_number() over (partition by package, exported order by u desc, id) as rank from s) where rank <= 8""", windows=False)
+def exports_by_file(r):
+    used = r.edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("utilization"))
+    s = r.files.join(used, "id", "left").select("id", F.col("package").alias("file_id"), (F.col("role") == "entry").alias("exported"), F.coalesce("utilization", F.lit(0.0)).alias("utilization"))
+    return symbols.exports_by_file(s).select("id", "rank")
+
+
+@query(""", u as (select dst as id, sum(weight) as u from edges group by 1), s as (select id, package, u, loc / 1000 as c from files join u using (id))
+select id, case when sum(u) over (partition by package) > 0 then round(c * u / sum(u) over (partition by package), 6) else 0 end as importance from s""", windows=False)
+def symbol_importance(r):
+    used = r.edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("utilization"))
+    return symbols.importance(r.files.join(used, "id").select("id", F.col("package").alias("file_id"), "utilization", (F.col("loc") / 1000).alias("centrality")))
+
+
+@query("""select importer as file_id, file_id as target from refs where importer <> file_id union select src, dst from edges""", windows=False)
+def depends_on(r):
+    return symbols.depends_on(r.references, r.edges)
+
+
+@query("""select p_partkey as id, case when p_partkey % 10 = 0 then true else false end as public from part where p_partkey not in (select dst from edges) and p_partkey % 3 = 0""", windows=False)
+def unused_exports(r):
+    used = r.edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("utilization"))
+    exports = r.files.where("id % 3 = 0").select("id", F.col("id").alias("file_id"))
+    return symbols.unused_exports(exports, used, r.files.where("role = 'barrel'").select(F.col("id").alias("file_id"))).select("id", "public")
+
+
+# incremental, vectors, graders
+
+@query(""", f as (select doc_id as file_id, sha256(text) as h, case when doc_id % 4 = 0 then text || 'x' when doc_id % 4 = 1 then text || ' ' else text end as t from documents)
+select doc_id as file_id, case when doc_id % 7 = 0 then 'structural' when doc_id % 4 in (2, 3) then 'none' when doc_id % 4 = 1 or regexp_matches(string_split(text, chr(10))[-1], '//|#') then 'cosmetic' else 'structural' end as tier from documents""", windows=False)
+def reuse_tiers(r):
+    d = r.table("documents").select(F.col("doc_id").alias("file_id"), "text")
+    new = F.when(F.col("file_id") % 4 == 0, F.concat("text", F.lit("x"))).when(F.col("file_id") % 4 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    prints = lambda df, t: df.select("file_id", F.sha2(t, 256).alias("content_hash"), incremental.structural_hash(t).alias("structural_hash"))
+    return incremental.tiers(prints(d, new), prints(d.where("file_id % 7 != 0"), F.col("text")))
+
+
+@query(""", e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), q as (select * from e where vec_id < 20),
+s as (select q.vec_id as query, q.label as ql, e.vec_id as item, e.label as il, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.vec_id) as rn from q join e on e.vec_id <> q.vec_id),
+h as (select query, count(*) filter (rn <= 10 and ql = il) as hit, min(case when ql = il then rn end) as best, count(*) filter (ql = il) as n from s group by 1)
+select query, round(hit / 10, 6) as p_at_k, round(hit / n, 6) as r_at_k, round(coalesce(1.0 / best, 0), 6) as rr from h where n > 0""", windows=False)
+def retrieval_scores(r):
+    e = r.table("embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("il"), F.col("embedding").alias("v"))
+    q = e.where("item < 20").select(F.col("item").alias("query"), F.col("il").alias("ql"), F.col("v").alias("u"))
+    # the queries are a fixed few: each is held against every vector
+    s = e.crossJoin(F.broadcast(q)).where("item != query").withColumn("sim", F.round(P.cosine(F.col("v"), F.col("u")), 9))
+    from pyspark.sql import Window
+
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item")))
+    out = evaluate.ranking_scores(ranked.select("query", "item", "rank"), s.where("ql = il").select("query", "item"), 10)
+    return out.select("query", *(F.round(c, 6).alias(c) for c in ("p_at_k", "r_at_k", "rr")))
+
+
+@query(""", a as (select id as item from hot order by churn desc, id limit 20), b as (select id as item from hot order by score desc, id limit 20)
+select round(count(*) filter (a.item is not null and b.item is not null) / count(*), 6) as jaccard from a full join b on a.item = b.item""")
+def top_k_jaccard(r):
+    h = _hot(r)
+    out = evaluate.top_k_jaccard(h.select(F.col("id").alias("item"), F.col("churn").alias("score")), h.select(F.col("id").alias("item"), "score"), 20)
+    return out.select(F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("""select l_partkey as test, count(*) = 20 and count(distinct l_returnflag) = 1 as stable, min(l_returnflag) as status from lineitem group by 1""", windows=False)
+def flaky_tests(r):
+    return evaluate.flakes(r.table("lineitem").select(F.col("l_partkey").alias("test"), F.col("l_returnflag").alias("status")), 20)
+
+
+@query("""select 'mined' as stage, count(*) as n from part union all select 'large', count(*) from part where p_size > 10 union all select 'dear', count(*) from part where p_size > 10 and p_retailprice > 1000""", windows=False)
+def admission_funnel(r):
+    return evaluate.funnel(r.table("part").select((F.col("p_size") > 10).alias("large"), (F.col("p_retailprice") > 1000).alias("dear")), ["large", "dear"])
+
+
+@query("""select o_orderkey as id, cast(o_orderpriority as varchar) as ref, row_number() over (order by o_orderdate desc, o_orderkey desc) <= 10 or o_orderpriority = '1-URGENT' as keep from orders""", windows=False)
+def prune_plan(r):
+    from lodestrata.sources.store import prune_plan as plan
+
+    return plan(r.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ref"), F.col("o_orderdate").alias("taken_at")), 10, ["1-URGENT"])
+
+
+@query(""", l as (select doc_id, string_split(text, chr(10)) as ls from documents), a as (select doc_id, ls, unnest(range(1, len(ls) - 1)) as i from l where len(ls) >= 3),
+f as (select distinct doc_id, i, substr(trim(regexp_replace(array_to_string(ls[i:i + 2], ' '), '\\s+', ' ', 'g')), 1, 200) as fragment from a)
+select md5(fragment) as fragment, count(*) as frequency, count(distinct doc_id) as files from f where fragment <> '' group by fragment having count(*) >= 2""", windows=False)
+def line_clones(r):
+    out = observe.clones(r.table("documents").select(F.col("doc_id").alias("file"), "text"))
+    return out.select(F.md5("fragment").alias("fragment"), "frequency", "files")
+
+
+@query()
+def package_communities(r):
+    return community.communities(_owner(r), r.edges)
+
+
+@query()
+def package_split(r):
+    return community.split(_owner(r), r.edges)
+
+
+@query()
+def text_formatting(r):
+    return observe.formatting(r.table("documents").select(F.col("doc_id").alias("file"), "text"))
+
+
+@query()
+def extracted_facts(r):
+    pages = r.table("pages").select(F.col("url").alias("path"), F.lit("typescript").alias("language"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return extract.metrics(extract.facts(pages))
+
+
+@query()
+def file_dossiers(r):
+    ranks = graph.pagerank(r.files, r.edges, iterations=10, tolerance=0)
+    return context.dossiers(r.files, _churn90(r), ranks, r.edges, _pairs(r))
