@@ -71,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash": minhash.ORACLE % {"word": WORD_RE, "threshold": minhash.THRESHOLD},
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE % {"word": WORD_RE, "least": suffix_dedup.LEAST},
 }

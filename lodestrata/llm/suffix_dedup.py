@@ -213,3 +213,14 @@ def repeats(docs: DataFrame, least: int = LEAST, per_shard: int = PER_SHARD) ->
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("a") > before, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
     return islands.groupBy("i", "h", "island").agg(F.min("a").alias("first_word"), F.max("b").alias("end_word")).select(F.col("i").alias("doc_id"), "first_word", "end_word")
+
+
+ORACLE = """
+with texts as (select distinct doc_id, regexp_extract_all(lower(text), '%(word)s') as w from documents where doc_id is not null and text is not null),
+places as (select doc_id, w, unnest(range(0, len(w) - %(least)s + 1)) as p from texts where len(w) >= %(least)s),
+windows as (select doc_id, p, md5(array_to_string(w[p + 1:p + %(least)s], ' ')) as g from places),
+later as (select doc_id, p from windows qualify row_number() over (partition by g order by doc_id, p) > 1),
+marked as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + %(least)s then 0 else 1 end as fresh from later),
+islands as (select doc_id, p, sum(fresh) over (partition by doc_id order by p rows unbounded preceding) as island from marked)
+select doc_id, min(p) as first_word, max(p) + %(least)s as end_word from islands group by doc_id, island
+"""
