@@ -25,27 +25,26 @@ def matches_any(value: Column, patterns: Sequence[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-#: Role by first match.
-ROLE_TESTS: list[tuple[str, str]] = [
-    ("generated", r"(^|/)(generated|__generated__)/|\.gen\.[jt]sx?$|\.d\.ts$|\.pb\.[a-z]+$"),
-    ("test", r"\.(test|spec)\.[cm]?[jt]sx?$|(^|/)(__tests__|tests?)/|(^|/)test_[^/]*\.py$|_test\.py$"),
-    ("fixture", r"(^|/)(__fixtures__|fixtures?|__mocks__)/"),
-    ("script", r"(^|/)(scripts?|bin|tools)/"),
-    ("barrel", r"(^|/)(index\.[cm]?[jt]sx?|__init__\.py)$"),
-    ("types", r"(^|/)types?\.[cm]?tsx?$|\.types\.tsx?$"),
-    ("config", r"(^|/)[^/]*\.config\.[cm]?[jt]s$|(^|/)(setup|conf)\.py$"),
-]
-
-
-def classify_role(path: Column, shebang: Column | None = None) -> Column:
+#: Role by first match (P6); generated files and shebangs are told by hints.
+ROLE_TESTS: dict[str, str] = {
+    "test": r"(^|/)(tests?|__tests__)/|\.(spec|test)(\.[a-z]+)?$",
+    "fixture": r"(^|/)fixtures(/|$)",
+    "script": r"(^|/)(archive|scripts)(/|$)",
+    "entry": "",
+    "barrel": r"(^|/)index(\.[a-z]+)?$",
+    "types": r"(?i)(^|/)([a-z][-\w]*[.])?types([.][a-z]+)?$",
+    "config": r"\.config(\.[a-z]+)?$",
+}
+
+
+def classify_role(path: Column, shebang: Column | None = None, generated: Column | None = None) -> Column:
+    """Generated beats all; a shebang comes after test, fixture and script."""
     out = F.lit("source")
-    for role, rx in reversed(ROLE_TESTS):
-        if role == "barrel" and shebang is not None:
-            out = F.when(path.rlike(rx), role).otherwise(out)
-            out = F.when(shebang, "entry").otherwise(out)
-        else:
-            out = F.when(path.rlike(rx), role).otherwise(out)
-    return out
+    for role, rx in reversed(ROLE_TESTS.items()):
+        hint = path.rlike(rx) if rx else shebang
+        if hint is not None:
+            out = F.when(hint, role).otherwise(out)
+    return out if generated is None else F.when(generated, "generated").otherwise(out)
 
 
 def annotate_role(kind: Column, role: Column, path: Column) -> Column:
@@ -53,9 +52,9 @@ def annotate_role(kind: Column, role: Column, path: Column) -> Column:
     return F.when(kind.isin("file", "module") & role.isNull(), classify_role(path)).otherwise(role)
 
 
-EXCLUDED_DIRS = (".git", "node_modules", "dist", "build", "out", "coverage", ".next", "vendor", "__pycache__", ".venv", "venv")
-EXCLUDED_SUFFIXES = (r"\.min\.js$", r"\.bundle\.js$", r"\.map$", r"\.lock$", r"\.snap$")
-LANGUAGES = {"ts": "typescript", "tsx": "tsx", "mts": "typescript", "cts": "typescript", "js": "typescript", "jsx": "tsx", "py": "python"}
+EXCLUDED_DIRS = tuple(".claude .git .next __generated__ build coverage dist node_modules vendor".split())
+EXCLUDED_SUFFIXES = (r"\.d\.ts$", r"\.map$", r"\.min\.[jt]sx?$", r"lock\.(yaml|json)$", r"yarn\.lock$")
+LANGUAGES = dict(x.split(":") for x in "py:python js:javascript jsx:javascript ts:typescript tsx:typescript".split())
 
 
 def language_of(path: Column) -> Column:
@@ -63,7 +62,7 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
 
 
-def is_source(path: Column, languages: Sequence[str] = ("typescript", "tsx", "python")) -> Column:
+def is_source(path: Column, languages: Sequence[str] = ("javascript", "python", "typescript")) -> Column:
     """Whether a walk takes the file in."""
     folder = r"(^|/)(" + "|".join(map(re.escape, EXCLUDED_DIRS)) + ")/"
     return ~path.rlike(folder) & ~path.rlike("|".join(EXCLUDED_SUFFIXES)) & F.coalesce(language_of(path).isin(*languages), F.lit(False))
@@ -108,16 +107,17 @@ def normalise(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+#: In the order they are tried; a word of capitals alone is PascalCase.
+CONVENTIONS = {"camelCase": "[a-z][a-zA-Z0-9]*", "PascalCase": "[A-Z][a-zA-Z0-9]*", "snake_case": r"[a-z][a-z\d]*(_[a-z\d]+)+", "SCREAMING_SNAKE": r"[A-Z][A-Z\d]*(_[A-Z\d]+)+", "kebab-case": r"[a-z][a-z\d]*(-[a-z\d]+)+"}
+
+
 def convention(name: Column) -> Column:
-    """camelCase, PascalCase, snake_case, SCREAMING_SNAKE, kebab-case or mixed."""
-    return (
-        F.when(name.rlike(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$|^[A-Z]{2,}[0-9]*$"), "SCREAMING_SNAKE").when(name.rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake_case")
-        .when(name.rlike(r"^[a-z][a-z0-9]*(-[a-z0-9]+)+$"), "kebab-case").when(name.rlike(r"^[a-z][a-zA-Z0-9]*$"), "camelCase").when(name.rlike(r"^[A-Z][a-zA-Z0-9]*$"), "PascalCase").otherwise("mixed")
-    )
+    """The naming convention of an identifier, null for none."""
+    return F.coalesce(*(F.when(name.rlike(f"^{rx}$"), c) for c, rx in CONVENTIONS.items()))
 
 
-def boolean_prefix(name: Column) -> Column:
-    return F.regexp_extract(name, r"^(is|has|should|can|will|did|was)(?=[A-Z_])", 1)
+def boolean_prefix(name: Column, python: bool = False) -> Column:
+    return F.regexp_extract(name, "^(can|did|has|is|should|was|will)" + ("_" if python else "[A-Z_]"), 1)
 
 
 def name_tokens(name: Column, least: int = 3) -> Column:
@@ -140,8 +140,14 @@ def one_line(text: Column, most: int = 200) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+def _old(spec: str) -> dict[str, str]:
+    return {old: new for new, olds in (x.split("=") for x in spec.split()) for old in olds.split(",")}
+
+
 #: Old spellings and what they are now (P10).
-METRIC_ALIASES = {"in_degree": "fan_in", "out_degree": "fan_out", "lines": "loc", "cognitive": "cognitive_max", "cyclomatic": "cyclomatic_max"}
+METRIC_ALIASES = _old("loc=lines,lines_of_code fan_in=fanin,fan-in fan_out=fanout,fan-out max_nesting_depth=max-nesting-depth,nesting_depth lcom4_max=lcom4")
+ROLE_ALIASES = _old("test=spec,specs,tests barrel=barrels fixture=fixtures")
+EDGE_ALIASES = _old("calls=call imports=import references=reference re-exports=re-export,reexports,re_exports depends-on=dependson,depends_on")
 
 
 def healed(name: Column, aliases: dict[str, str] | None = None) -> Column:

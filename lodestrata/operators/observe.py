@@ -5,6 +5,7 @@ Observations are type, category, value, file, seq (their order).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,16 @@ from pyspark.sql import functions as F
 
 WEIGHT = {"high": 1.0, "medium": 0.85, "low": 0.7}
 ERROR, WARNING, INFO, REVIEW = 0.85, 0.6, 0.4, 0.6
-#: Stability by type, then by category.
-STABILITY = {"naming.variables": "high", "naming.functions": "high", "naming.types": "high", "formatting": "high", "structure": "medium", "documentation": "medium", "errorHandling": "medium", "controlFlow": "low", "complexity": "low"}
+_LEVELS = {
+    "high": """naming(variables functions types constants files enums privateMembers) structure(import-group import-order export-style functionLength nestingDepth)
+        controlFlow(guardClauses earlyReturn arrayMethods asyncAwait) errorHandling(tryCatchFrequency resultType exhaustiveSwitch assertNever) documentation(jsdocPresence)
+        typeSystem(annotationDensity explicitReturn) formatting(indentStyle indentSize semicolons quoteStyle trailingCommas braceStyle trailingNewline) patterns(classVsFunctional)
+        idiom(clone) complexity(functionLength nestingDepth cyclomatic)""",
+    "low": """structure(moduleTopology fileOrganization) controlFlow(nullishCoalescing) errorHandling(errorBoundary) documentation(sectionComments voice whyVsWhat redundancy)
+        typeSystem(genericUsage utilityTypes) formatting(defaultParams) patterns(pureFunctions) reviewVoice(tone themes values)""",
+}
+#: Stability by type; types that aren't listed are medium.
+STABILITY = {f"{group}.{name}": level for level, spec in _LEVELS.items() for group, names in re.findall(r"([\w]+)\(([^)]*)\)", spec) for name in names.split()}
 
 
 def stability(type_: Column, table: Mapping[str, str] | None = None) -> Column:

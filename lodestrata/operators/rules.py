@@ -16,7 +16,7 @@ from lodestrata.functions.patterns import matches_any
 from lodestrata.operators.graph import STRUCTURAL
 
 TYPES = ("metric-max", "metric-min", "metric-product-max", "layered-deps", "forbid-import", "no-internal-only-barrels")
-ROLES = ("test", "fixture", "barrel", "types", "config", "script", "entry", "generated", "source")
+ROLES = tuple("source entry script config types barrel fixture test generated".split())
 
 
 @dataclass(frozen=True)
@@ -194,8 +194,9 @@ def trend(compared: DataFrame) -> DataFrame:
 
 #: Rules for a repository without any.
 DEFAULT_RULES: list[dict[str, Any]] = [
-    {"id": "file-size", "type": "metric-max", "metric": "loc", "max": 350, "excludeRoles": ["test", "fixture"]},
-    {"id": "complexity", "type": "metric-max", "metric": "cyclomatic_max", "max": 30, "excludeRoles": ["test", "fixture"]},
-    {"id": "nesting", "type": "metric-max", "metric": "max_nesting_depth", "max": 5, "excludeRoles": ["test", "fixture"]},
-    {"id": "hot-and-complex", "type": "metric-product-max", "metrics": ["churn_30d", "cognitive_max", "recency_30d"], "max": 3000, "excludeRoles": ["test", "fixture"]},
-]
+    dict(id=name, type=kind, excludeRoles=["fixture", "test"], max=most, **what)
+    for name, kind, most, what in (
+        ("file-size", TYPES[0], 350, {"metric": "loc"}), ("complexity", TYPES[0], 30, {"metric": "cyclomatic_max"}), ("nesting", TYPES[0], 5, {"metric": "max_nesting_depth"}),
+        ("hot-and-complex", TYPES[2], 3000, {"metrics": ["cognitive_max", "churn_30d", "recency_30d"]}),
+    )
+]

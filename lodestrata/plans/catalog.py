@@ -326,9 +326,9 @@ def external_cosine(r):
 # rules
 
 RULES = [
-    {"id": "size", "type": "metric-max", "metric": "loc", "max": 1900, "excludeRoles": ["test", "fixture"]},
-    {"id": "small", "type": "metric-min", "metric": "cognitive_max", "min": 2, "severity": "warning"},
-    {"id": "product", "type": "metric-product-max", "metrics": ["loc", "cognitive_max"], "max": 85000},
+    dict(id="size", type=rules.TYPES[0], metric="loc", max=1900, excludeRoles=["test", "fixture"]),
+    dict(id="small", type=rules.TYPES[1], metric="cognitive_max", min=2, severity="warning"),
+    dict(id="product", type=rules.TYPES[2], metrics=["loc", "cognitive_max"], max=85000),
 ]
 
 

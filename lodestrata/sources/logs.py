@@ -67,7 +67,7 @@ def git(repo: str, *args: str) -> str:
 def churn_of(spark: SparkSession, repo: str, days: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """The churn relation of a repository's history."""
     since = [] if days is None else [f"--since={days}.days.ago"]
-    log = git(repo, "log", *since, "--no-merges", "--numstat", "-M", "--pretty=%H%x09%ae%x09%ct")
+    log = git(repo, "log", *since, *"-M --numstat --no-merges --pretty=%H%x09%ae%x09%ct".split())
     out = parse_churn(lines_of(spark.createDataFrame([(repo, log)], "log string, text string")))
     return out if known is None else out.join(known.select(F.col("id").alias("file_id")), "file_id", "left_semi")
 
@@ -78,7 +78,7 @@ def rename_aliases(spark: SparkSession, repo: str, before: str, after: str, simi
     return parse_renames(lines_of(spark.createDataFrame([(repo, out)], "log string, text string"))).select("old_id", "new_id", F.lit("rename").alias("reason"))
 
 
-def source_files(spark: SparkSession, roots: Sequence[str], languages: Sequence[str] = ("typescript", "tsx", "python")) -> DataFrame:
+def source_files(spark: SparkSession, roots: Sequence[str], languages: Sequence[str] = ("javascript", "python", "typescript")) -> DataFrame:
     """path, language, text, content_hash of the source files under the roots,
     each once (S1, S2, S3)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))

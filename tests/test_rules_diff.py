@@ -33,7 +33,7 @@ def test_edge_rules(graph_):
 
 
 def test_baseline_ignores_the_value(spark, graph_):
-    rs, _ = rules.validate([{"id": "r", "type": "metric-max", "metric": "loc", "max": 350}])
+    rs, _ = rules.validate([dict(id="r", type="metric-max", metric="loc", max=350)])
     first = rules.run(rs, *graph_)
     worse = graph_[2].withColumn("value", graph_[2]["value"] * 2)
     again = rules.run(rs, graph_[0], graph_[1], worse, first.where("node != 'pkg/b.ts'"))
@@ -46,9 +46,10 @@ def test_baseline_ignores_the_value(spark, graph_):
 
 
 def test_validation():
-    ok, warned = rules.validate(rules.DEFAULT_RULES + [{"id": "x", "type": "metric-max", "metric": "lines", "max": 1}], {"lines": "loc"})
+    ok, warned = rules.validate(rules.DEFAULT_RULES + [dict(id="x", type="metric-max", metric="lines", max=1)], {"lines": "loc"})
     assert ok[-1].metric == "loc" and len(warned) == 1
-    for bad in ({"id": "x", "type": "nope"}, {"id": "x", "type": "metric-max", "metric": "m"}, {"type": "metric-max"}, {"id": "x", "type": "metric-max", "metric": "m", "max": 1, "excludeRoles": ["king"]}, {"id": "x", "type": "metric-product-max", "metrics": ["m"], "max": 1}):
+    high = dict(id="x", type="metric-max")
+    for bad in (dict(id="x", type="nope"), high | dict(metric="m"), dict(type="metric-max"), high | dict(metric="m", max=1, excludeRoles=["king"]), dict(id="x", type="metric-product-max", metrics=["m"], max=1)):
         with pytest.raises(rules.RuleError):
             rules.validate([bad])
 

@@ -34,7 +34,7 @@ def test_renames(spark):
 
 def test_coverage_by_innermost_span(spark):
     fn = lambda n: {"name": "f", "loc": {"start": {"line": n}, "end": {"line": n + 1}}}
-    report = {"a.ts": {"path": "a.ts", "fnMap": {"0": fn(2), "1": fn(5), "2": fn(50)}, "f": {"0": 3, "1": 0, "2": 1}}}
+    report = {"a.ts": {"path": "a.ts", "fnMap": {n: fn(at) for n, at in zip("xyz", (2, 5, 50))}, "f": dict(x=3, y=0, z=1)}}
     points = logs.coverage_points(spark.createDataFrame([(json.dumps(report),)], "text string"))
     spans = spark.createDataFrame([("a.ts", "outer", 1, 20), ("a.ts", "inner", 4, 8)], "file_id string, id string, start_line int, end_line int")
     at = symbols.innermost(spans, points)
@@ -65,13 +65,19 @@ def test_packages_buckets_domains_configs(spark):
     assert sorted((r["type"], r["value"]) for r in logs.config_observations(c).collect()) == [("formatting.indent-style", "tab"), ("formatting.semicolons", "false")]
 
 
-@pytest.mark.parametrize(("path", "role"), [("src/a.test.ts", "test"), ("x/__fixtures__/a.ts", "fixture"), ("scripts/run.ts", "script"), ("src/index.ts", "barrel"), ("src/types.ts", "types"), ("vite.config.ts", "config"), ("gen/generated/a.ts", "generated"), ("src/a.ts", "source")])
-def test_roles(spark, path, role):
-    assert one(spark, path, P.classify_role) == role
+ROLE_OF = dict(x.split("=") for x in "lib/q.test.ts=test k/__tests__/q.ts=test x/fixtures/q.ts=fixture scripts/q.ts=script lib/index.ts=barrel lib/types.ts=types lib/api.types.ts=types vite.config.ts=config lib/q.ts=source".split())
+
+
+@pytest.mark.parametrize("path", ROLE_OF)
+def test_roles(spark, path):
+    assert one(spark, path, P.classify_role) == ROLE_OF[path]
+    assert one(spark, path, lambda c: P.classify_role(c, generated=F.lit(True))) == "generated"
+    shebang = one(spark, path, lambda c: P.classify_role(c, F.lit(True)))
+    assert shebang == (ROLE_OF[path] if ROLE_OF[path] in ("test", "fixture", "script") else "entry")
 
 
 def test_names_and_paths(spark):
-    for name, want in (("fooBar", "camelCase"), ("FooBar", "PascalCase"), ("foo_bar", "snake_case"), ("FOO_BAR", "SCREAMING_SNAKE"), ("foo-bar", "kebab-case"), ("Foo_bar", "mixed")):
+    for name, want in (("fooBar", "camelCase"), ("FooBar", "PascalCase"), ("foo_bar", "snake_case"), ("FOO_BAR", "SCREAMING_SNAKE"), ("foo-bar", "kebab-case"), ("Foo_bar", None), ("FOO", "PascalCase")):
         assert one(spark, name, P.convention) == want
     assert one(spark, "a/./b/../c", P.normalise) == "a/c"
     assert one(spark, "../x", P.normalise) == "../x"
@@ -103,7 +109,7 @@ def test_extraction(spark):
     assert community.lcom(extract.members(facts)).first()["lcom4"] == 2
     assert {(r["importer"], r["symbol"]) for r in extract.references(src, facts).collect()} == {("src/a.ts", "src/b.ts#b")}
     obs = {(r["type"], r["value"]) for r in extract.observations(facts).collect()}
-    assert ("naming.type", "PascalCase") in obs and ("control-flow.loops", "while") in obs and ("naming.constant", "SCREAMING_SNAKE") in obs
+    assert ("naming.type", "PascalCase") in obs and ("control-flow.loops", "while") in obs and ("naming.constant", "PascalCase") in obs
 
 
 def test_origin_through_reexports(spark):
