@@ -69,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontam": op10_decontam,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op3_minhash": minhash.ORACLE % {"word": WORD_RE, "threshold": minhash.THRESHOLD},
+    "op3_minhash": minhash.ORACLE % {"word": WORD_RE, "threshold": minhash.THRESHOLD, "last": minhash.WIDTH - 1},
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE % {"word": WORD_RE, "least": suffix_dedup.LEAST},
 }

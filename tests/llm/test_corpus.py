@@ -77,7 +77,7 @@ def test_sharding_rows(make, awkward):
     assert sharding.shards(make(rows).limit(0)).count() == 0
 
 
-def jaccard(a, b, k=5):
+def jaccard(a, b, k=minhash.WIDTH):
     def grams(t):
         w = t.lower().split()
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
