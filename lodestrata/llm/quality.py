@@ -169,8 +169,10 @@ def _score(shared):
             for part in chunks(batch):
                 for lang, own in by_lang(part):
                     code, offs = codes(own.column("text"))
-                    sums = np.concatenate([[0.0], np.cumsum(shared.value[lang].lookup(code))]) if len(code) else np.zeros(1)
-                    yield pa.RecordBatch.from_arrays([own.column("_q_row"), own.column("lang"), pa.array(np.diff(offs)), pa.array(sums[offs[1:]] - sums[offs[:-1]])], schema=SCORE)
+                    total, full = np.zeros(len(offs) - 1), np.diff(offs) > 0
+                    if len(code):  # each text by itself, so that copies get the same bits
+                        total[full] = np.add.reduceat(shared.value[lang].lookup(code), offs[:-1][full])
+                    yield pa.RecordBatch.from_arrays([own.column("_q_row"), own.column("lang"), pa.array(np.diff(offs)), pa.array(total)], schema=SCORE)
 
     return run
 
@@ -187,7 +189,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """_q_row (hash of lang and text), lang, n bytes, logppl; one row a text."""
+    """_q_row (hash of lang and text), lang, n bytes, logppl; a row each time a text occurs."""
     spark = docs.sparkSession
     model = cut(probabilities(count(docs)))
     texts = prepared(docs).withColumn("_q_row", F.xxhash64("lang", "text"))
@@ -200,7 +202,8 @@ def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
         totals = texts.mapInArrow(_score(spark.sparkContext.broadcast(arrays)), "_q_row long, lang string, n long, total double")
     else:
         grams = texts.distinct().mapInArrow(_profile, "_q_row long, lang string, g long, c long")
-        totals = grams.join(model, ["lang", "g"]).groupBy("_q_row", "lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("total"))
+        once = grams.join(model, ["lang", "g"]).groupBy("_q_row", "lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("total"))
+        totals = texts.select("_q_row", "lang").join(once, ["_q_row", "lang"])  # a row each time a text occurs, as above
     return totals.where("n > 0").select("_q_row", "lang", "n", (-F.col("total") / F.col("n")).alias("logppl"))
 
 
@@ -226,7 +229,7 @@ def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, model_row
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, reason for every row of docs."""
-    judged = judge(docs, **kw).select("_q_row", "n", "logppl", "reason").distinct()
+    judged = judge(docs, **kw).select("_q_row", "n", "logppl", "reason").dropDuplicates(["_q_row"])
     rows = docs.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("lang"), F.lit("und")).cast("string"), F.coalesce(F.col("text"), F.lit(""))).alias("_q_row"))
     return rows.join(judged, "_q_row", "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n_bytes"), F.round(F.exp("logppl"), 4).alias("perplexity"), "reason")
 

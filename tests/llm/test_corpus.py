@@ -182,6 +182,14 @@ def test_perplexity_against_the_definition(make, model_rows):
     assert got[20]["perplexity"] is None and got[21]["reason"] is None and got[None]["perplexity"] is not None
 
 
+def test_copies_count_alike_with_either_model(make):
+    one = [(k, " ".join(words(700 + k, 5 + 3 * k)), "en") for k in range(30)]
+    docs = make([*one, *((100 + k, one[0][1], "en") for k in range(200))])
+    judged = [sorted((r["_q_row"], r["reason"] or "", round(r["lo"], 6), round(r["hi"], 6)) for r in quality.judge(docs, 0.5, 0.5, n).collect()) for n in (quality.MODEL_ROWS, 0)]
+    assert len(judged[0]) == 230 and judged[0] == judged[1] and {x[1] for x in judged[0]} > {""}
+    assert quality.report(docs).count() == 230
+
+
 def test_quality_keeps_awkward_rows_but_junk(make, awkward):
     clean = [(100 + k, " ".join(words(k % 40, 60)), "en") for k in range(120)]
     junk = [(900, "%%% &&& ### " * 60, "en")]
