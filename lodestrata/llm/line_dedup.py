@@ -3,10 +3,14 @@
 A line is what lies between newlines, trimmed of blanks, tabs and carriage
 returns; blank lines are left out of the sequence that is compared. Runs of k
 lines are hashed, the minimum (rightmost on ties) of every w consecutive hashes
-is a fingerprint, so each shared run of w + k - 1 lines has one. A fingerprint
-is joined to its first position in the corpus, in the order (doc_id, content
-hash, line); the match is extended both ways over equal lines, and the later
-run is deleted.
+is a fingerprint, so each shared run of w + k - 1 lines has one; with w = 1 every
+run of k lines is one, and none is missed. A fingerprint is joined to its first
+position in the corpus, in the order (doc_id, content hash, line); the match is
+extended both ways over equal lines, and the later run is deleted. A line of
+`alone` words or more is a run of its own, wherever it stands.
+
+The SQL still takes the minimum of every two hashes and no single lines, so it
+leaves repeats that are deleted here.
 
 Defined results: a document is a pair of doc_id and text. Repeated rows are one
 document and get the same edits. Rows with a null doc_id or text, and empty
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.runtime import cut
 
-K, W = 2, 2
+K, W = 2, 1
+#: Words of a line that is a run by itself.
+ALONE = 50
 BLANK = " \t\r"
 
 
@@ -48,20 +54,22 @@ def _neg(h: str) -> int:
     return -int(h[:15], 16)
 
 
-def _scan(k: int, w: int):
-    schema = pa.schema([("_ld_id", pa.int64()), ("_ld_h", pa.int64()), ("lines", pa.list_(pa.int64())), ("fps", pa.list_(pa.struct([("pos", pa.int32()), ("fp", pa.int64())])))])
+def _scan(k: int, w: int, alone: int):
+    schema = pa.schema([("_ld_id", pa.int64()), ("_ld_h", pa.int64()), ("lines", pa.list_(pa.int64())), ("fps", pa.list_(pa.struct([("pos", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                hexes = [_line(s) for s in (x.strip(BLANK) for x in text.split("\n")) if s]
-                if len(hexes) < k:
+                own = [s for s in (x.strip(BLANK) for x in text.split("\n")) if s]
+                hexes = [_line(s) for s in own]
+                long = [j for j, s in enumerate(own) if len(s) >= 2 * alone - 1 and len(s.split()) >= alone]
+                if len(hexes) < k and not long:
                     continue
                 grams = [_line("".join(hexes[j : j + k])) for j in range(len(hexes) - k + 1)]
                 rows.append({
                     "_ld_id": i, "_ld_h": h, "lines": [int(x[:15], 16) for x in hexes],
-                    "fps": [{"pos": p, "fp": int(grams[p][:15], 16)} for p in winnow(grams, w)],
+                    "fps": [{"pos": p, "fp": int(grams[p][:15], 16), "n": k} for p in winnow(grams, w)] + [{"pos": p, "fp": int(hexes[p][:15], 16), "n": 1} for p in long],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -81,7 +89,7 @@ def extend(b: np.ndarray, a: np.ndarray, at_b: int, at_a: int, k: int) -> tuple[
 
 
 def _extend(k: int):
-    schema = pa.schema([("_ld_id", pa.int64()), ("_ld_h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("src_id", pa.int64()), ("src_lo", pa.int32())])
+    schema = pa.schema([("_ld_id", pa.int64()), ("_ld_h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("src_id", pa.int64()), ("src_lo", pa.int32()), ("alone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,32 +101,35 @@ def _extend(k: int):
             for r in range(batch.num_rows):
                 b, a = later[r].values.to_numpy(), first[r].values.to_numpy()
                 done = -1
-                for p in sorted(at_b[r].as_py()):
+                at = [(x["p"], x["n"]) for x in at_b[r].as_py()]
+                for p in sorted(p for p, n in at if n == k):
                     if p + k <= done:
                         continue
                     lo, done = extend(b, a, p, p + shift[r], k)
-                    out.append((ids[r], hs[r], lo, done, src[r], lo + shift[r]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.field(c).type) for c in range(6)], schema=schema)
+                    out.append((ids[r], hs[r], lo, done, src[r], lo + shift[r], False))
+                out += [(ids[r], hs[r], p, p + 1, src[r], p + shift[r], True) for p, n in sorted(at) if n != k]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.field(c).type) for c in range(7)], schema=schema)
 
     return run
 
 
-def repeated_runs(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Later runs: _ld_id, _ld_h, lo, hi (non-blank lines), src_id, src_lo."""
+def repeated_runs(docs: DataFrame, k: int = K, w: int = W, alone: int = ALONE) -> DataFrame:
+    """Later runs: _ld_id, _ld_h, lo, hi (non-blank lines), src_id, src_lo, alone
+    (a long line by itself). k is 2 at least."""
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("_ld_id"), F.xxhash64("text").alias("_ld_h"), "text"
     )
     scanned = cut(
-        texts.mapInArrow(_scan(k, w), "_ld_id long, _ld_h long, lines array<long>, fps array<struct<pos:int,fp:long>>")
+        texts.mapInArrow(_scan(k, w, alone), "_ld_id long, _ld_h long, lines array<long>, fps array<struct<pos:int,fp:long,n:int>>")
     )
     places = scanned.select("_ld_id", "_ld_h", F.explode("fps").alias("f")).select(
-        F.struct(F.col("_ld_id").alias("i"), F.col("_ld_h").alias("h"), F.col("f.pos").alias("p")).alias("at"), F.col("f.fp").alias("fp")
+        F.struct(F.col("_ld_id").alias("i"), F.col("_ld_h").alias("h"), F.col("f.pos").alias("p")).alias("at"), F.col("f.fp").alias("fp"), F.col("f.n").alias("n")
     )
     matched = (
-        places.withColumn("first", F.min("at").over(Window.partitionBy("fp")))
+        places.withColumn("first", F.min("at").over(Window.partitionBy("fp", "n")))
         .where("at != first")
         .groupBy(F.col("at.i").alias("_ld_id"), F.col("at.h").alias("_ld_h"), F.col("first.i").alias("src_id"), F.col("first.h").alias("src_h"), (F.col("first.p") - F.col("at.p")).alias("shift"))
-        .agg(F.collect_set("at.p").alias("at"))
+        .agg(F.collect_set(F.struct("at.p", "n")).alias("at"))
     )
     lines = scanned.select("_ld_id", "_ld_h", "lines").dropDuplicates(["_ld_id", "_ld_h"])
     sources = lines.select(F.col("_ld_id").alias("src_id"), F.col("_ld_h").alias("src_h"), F.col("lines").alias("src_lines"))
@@ -126,7 +137,7 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         matched.join(lines, ["_ld_id", "_ld_h"])
         .join(sources, ["src_id", "src_h"])
         .select("_ld_id", "_ld_h", "src_id", "shift", "lines", "src_lines", "at")
-        .mapInArrow(_extend(k), "_ld_id long, _ld_h long, lo int, hi int, src_id long, src_lo int")
+        .mapInArrow(_extend(k), "_ld_id long, _ld_h long, lo int, hi int, src_id long, src_lo int, alone boolean")
     )
 
 
@@ -145,12 +156,12 @@ def strike(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(kept), len(gone)
 
 
-def dedup_lines(docs: DataFrame, k: int = K, w: int = W, min_run: int = K, count_as: str | None = None) -> DataFrame:
-    """docs with later repeated runs of min_run lines or more deleted, in the
-    columns of docs; count_as names a column for the number of deleted lines."""
+def dedup_lines(docs: DataFrame, k: int = K, w: int = W, min_run: int = K, count_as: str | None = None, alone: int = ALONE) -> DataFrame:
+    """docs with later repeated runs of min_run lines or more, and later repeated
+    lines of `alone` words or more, deleted, in the columns of docs; count_as names a column for the number of deleted lines."""
     runs = (
-        repeated_runs(docs, k, w)
-        .where(F.col("hi") - F.col("lo") >= min_run)
+        repeated_runs(docs, k, w, alone)
+        .where((F.col("hi") - F.col("lo") >= min_run) | F.col("alone"))
         .groupBy("_ld_id", "_ld_h")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("_ld_runs"))
     )

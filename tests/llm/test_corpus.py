@@ -139,6 +139,27 @@ def test_lines(make, awkward, spark):
     assert line_dedup.dedup_lines(make(awkward).limit(0)).count() == 0
 
 
+def test_every_run_of_two_lines_and_every_long_line_goes(make):
+    r, rows = random.Random(6), []
+    long = [" ".join(words(840 + k, 60)) for k in range(3)]
+    for i in range(60):
+        rows.append((i, "\n".join([*r.choices([f"line {x}" for x in range(40)], k=r.randint(1, 12)), *r.choices(long, k=i % 2)]), "en"))
+    want, pairs, seen = {}, set(), set()
+    for i, text, _ in rows:
+        own, gone = text.split("\n"), set()
+        for p, line in enumerate(own):
+            pair = tuple(own[p : p + 2])
+            if len(pair) == 2:
+                gone |= {p, p + 1} if pair in pairs else set()
+                pairs.add(pair)
+            if line in long:
+                gone |= {p} if line in seen else set()
+                seen.add(line)
+        if len(gone) < len(own):
+            want[i] = "\n".join(x for p, x in enumerate(own) if p not in gone)
+    assert {d["doc_id"]: d["text"] for d in line_dedup.dedup_lines(make(rows)).collect()} == want
+
+
 class Brute:
     """Modified Kneser-Ney by its definition."""
 
