@@ -5,7 +5,9 @@ that templates hold them at. A hit at word i of a text and word j of a template
 votes for the diagonal i - j, where the template would begin. Votes are summed
 by diagonal, neighbouring diagonals (words put in or left out) are merged, and
 spans with enough votes are verified by a fitting alignment of the template's
-words to the text's. Of overlapping spans the one with most agreeing words
+words to the text's. An edit breaks k runs at most, so n words with e edits keep
+n - k + 1 - k * e votes: no more than that is asked, and with k = 2 no span of
+0.8 or more is lost. What lies beside a match is searched as well. Of overlapping spans the one with most agreeing words
 stays.
 
 The templates are joined by broadcast if their size allows (checked), so a scan
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.text import U, chunks, roll, word_hash, words
 from lodestrata.runtime import cut, maybe_broadcast
 
-K, BAND, VOTES, LEAST = 3, 0.2, 0.3, 0.8
+K, BAND, VOTES, LEAST = 2, 0.2, 0.3, 0.8
 OUT = "doc_id long, template_id string, license string, first_word int, end_word int, agreement double, exact boolean"
 
 #: Notices by which documents name their licence.
@@ -112,9 +114,13 @@ def _verify(shared, k: int, least: float):
                         licence, item = templates[s["t"]]
                         give = max(2, int(BAND * len(item)))
                         lo, hi = max(0, s["lo"] - give), min(len(own), s["hi"] + len(item) + give)
-                        gap, a, b = fit(item, own[lo:hi])
-                        if gap <= (1 - least) * len(item) + 1e-9:
-                            found.append((-(len(item) - gap), lo + a, s["t"], lo + b, licence, 1 - gap / len(item), gap == 0))
+                        rest = [(lo, hi)]
+                        while rest:
+                            x, y = rest.pop()
+                            gap, a, b = fit(item, own[x:y])
+                            if gap <= (1 - least) * len(item) + 1e-9 and a < b:
+                                found.append((-(len(item) - gap), x + a, s["t"], x + b, licence, 1 - gap / len(item), gap == 0))
+                                rest += [(u, v) for u, v in ((x, x + a), (x + b, y)) if v - u >= least * len(item) - 1e-9]
                     taken: list[tuple[int, int]] = []
                     for _, a, t, b, licence, agree, exact in sorted(found):
                         if all(b <= x or y <= a for x, y in taken):
@@ -149,7 +155,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, k: int = K, votes:
         lines.withColumn("part", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
         .groupBy("i", "h", "t", "grams", "part")
         .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"))
-        .where(F.col("votes") >= votes * F.col("grams"))
+        .where(F.col("votes") >= F.greatest(F.lit(1), F.least(votes * F.col("grams"), F.col("grams") - k * F.floor((1 - least) * (F.col("grams") + k - 1) + 1e-9))))
     )
     spots = cut(merged.groupBy("i", "h").agg(F.sort_array(F.collect_list(F.struct("t", "lo", "hi"))).alias("spots")))
     key = (texts["i"].eqNullSafe(F.col("ci"))) & (texts["h"] == F.col("ch"))

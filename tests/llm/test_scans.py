@@ -75,6 +75,15 @@ def test_licences(make, awkward):
     assert licenses.scan(make(rows).limit(0)).count() == 0
 
 
+def test_short_notices_with_the_edits_allowed(make):
+    rows = [
+        (1, "Licensed under MIT License", "en"), (2, "Released under an MIT License", "en"),
+        (3, "under the terms of one GNU Lesser other Public License", "en"), (4, "Licensed under the MIT License. Licensed under MIT License.", "en"),
+    ]
+    got = sorted((r["doc_id"], r["license"], r["agreement"]) for r in licenses.scan(make(rows)).collect())
+    assert got == [(1, "MIT", 0.8), (2, "MIT", 0.8), (3, "LGPL", 0.8), (4, "MIT", 0.8), (4, "MIT", 1.0)]
+
+
 def test_fit_against_every_part():
     r = np.random.default_rng(0)
     for _ in range(100):
