@@ -6,6 +6,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import zstandard
 
 from lodestrata.llm import decontam, licenses, secrets
 from lodestrata.llm.secrets import findings
@@ -46,15 +47,49 @@ def test_spans_of_plain_and_escaped_text():
     assert (rule, s, text[a:b]) == ("aws-access-key", KEY, KEY)
 
 
+def secret(text, **kw):
+    return [f[4] for f in findings(text, **kw) if f[0] == "aws-access-key"]
+
+
 def test_cycles_bombs_and_damage():
-    bomb = base64.b64encode(gzip.compress(b"a" * 100_000 + KEY.encode())).decode()
-    assert {f[0] for f in findings(bomb, most=1000)} == {"oversized-layer"}
-    assert {f[0] for f in findings(bomb)} == {"aws-access-key"} or not findings(bomb)
-    cut_off = base64.b64encode(gzip.compress((f"id {KEY} " + "pad " * 500).encode())[:-6]).decode()
-    assert [f[4] for f in findings(cut_off)] == [KEY]
+    bomb = base64.b64encode(gzip.compress(b"a" * 100_000 + b" " + KEY.encode())).decode()
+    assert {f[0] for f in findings(bomb, most=1000)} == {"oversized-layer", "aws-access-key"}
+    assert {f[0] for f in findings(bomb)} == {"aws-access-key"}
+    body = (f"id {KEY} " + " ".join(words(9, 3000))).encode()
+    for pack in (gzip.compress, zlib.compress):
+        packed = pack(body)
+        assert secret(base64.b64encode(packed[:-6]).decode()) == [KEY]
+        hurt = packed[:-2000] + b"\xff" * 40 + packed[-1960:]
+        assert secret(base64.b64encode(hurt).decode()) == [KEY]
     assert findings("%" * 50 + "\\u12") == []
 
 
+def test_every_member_stream_and_frame():
+    for pack in (gzip.compress, bz2.compress, zstandard.compress):
+        two = pack(b"first part, nothing here") + pack(f"second {KEY} part".encode())
+        assert secret(base64.b64encode(two).decode()) == [KEY]
+
+
+def test_control_characters_and_bytes_of_escapes():
+    assert secret(base64.b64encode(f"\0bin\x01 {KEY}\0".encode()).decode()) == [KEY]
+    assert secret(base64.b64encode(b"\xff\xfe bytes " + KEY.encode() + b" \x80").decode()) == [KEY]
+    packed = gzip.compress(f"the key {KEY} is here".encode())
+    assert secret("see " + urllib.parse.quote_from_bytes(packed) + " end") == [KEY]
+    assert secret("".join(f"\\x{b:02x}" for b in packed)) == [KEY]
+
+
+def test_the_sift_is_wider_than_the_rules(make):
+    r = random.Random(8)
+    parts = [
+        "eyJhbGciOiJ.eyJzdWIiOiI.abcdefgh", "password : abcdefgh1", "Key = abcdefgh1", "ſecret=abcdefgh1", "paſsword:\x0babcdefgh1", KEY, "gh" + "p_" + "a1" * 18,
+        "AIza" + "b2" * 17 + "c", "xoxb-0123456789", "-----BEGIN PRIVATE KEY-----", "ab://me:pass@host", "ToKeN='abcdefgh'", "pwd:abcdefgh", wrap(f"x {KEY}", "url"), wrap(f"x {KEY}", "unicode"), wrap(f"x {KEY}", "base64"), "&#65;&#x4B;IA" + "A" * 16,
+    ]
+    texts = [*parts, *(r.choice(parts)[r.randint(0, 3) :] + " " + r.choice(parts) for _ in range(150))]
+    want = {i for i, t in enumerate(texts) if findings(t)}
+    assert {*range(len(parts))} <= want
+    assert {d["doc_id"] for d in secrets.scan(make([(i, t, "en") for i, t in enumerate(texts)])).collect()} == want
+
+
 def test_secret_scan_rows(make, awkward):
     rows = [*awkward, (None, f"token = \"{'ab12' * 10}\"", "en"), (20, f"k {KEY}", "en"), (20, f"k {KEY}", "en")]
     got = secrets.scan(make(rows)).collect()
