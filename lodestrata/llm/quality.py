@@ -4,36 +4,51 @@ The model is counted by Spark over every document: byte n-grams of order 5 per
 language, with four zero bytes before each text. Counts are merged inside each
 task before they are shuffled, lower orders count distinct left extensions, and
 the three discounts come from each order's counts of counts. The model is held
-as hash arrays sorted by hash, with a directory over the leading bits.
-
-Each language gets a band of log perplexity per byte from quartiles over all of
-its documents: [q1 - width * iqr, q3 + width * iqr], widened by slack / sqrt(n)
-for a text of n bytes, whose mean is that much less certain. Texts outside are
-rejected, with the reason "low" (degenerate repetition) or "high" (junk).
+as hash arrays sorted by hash, with a directory over the leading bits, in files
+of about PER_FILE n-grams in the shared checkpoint folder: tasks map those into
+memory that they look up, so neither the driver nor a task ever holds the model,
+whatever its size. Where that folder isn't a path (an object store), texts are
+joined to the model instead; both give the same rows.
+
+Each language gets a band of log perplexity per byte. The mean over n bytes
+spreads as 1 / sqrt(n), so a text's distance from the language's median is
+multiplied by sqrt(n); from the quartiles of that over all of its documents a
+text of n bytes may lie in median + [q1 - width * iqr, q3 + width * iqr] / sqrt(n),
+and slack beyond. Texts outside are rejected, with the reason "low" (degenerate
+repetition, boilerplate) or "high" (junk).
 
 Defined results: a null lang counts as "und". Null and empty texts have a null
 perplexity and aren't rejected. Rows with a null doc_id are scored and judged as
-any other. Repeated rows count as often as they occur.
+any other. Repeated rows count as often as they occur, and each gets its row. An
+empty table gives no rows. Other columns, of any name, are carried along by keep
+and aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.columns import fresh
 from lodestrata.llm.text import U, chunks, mix, raw
-from lodestrata.runtime import cut
+from lodestrata.runtime import checkpoint_dir, cut
 
 ORDER = 5
-WIDTH, SLACK = 2.0, 6.0  # three standard errors, at about 2 nats a byte
-BINS = 1000  # quartiles are exact to 1 / BINS
-#: N-grams of a model that is broadcast; a larger one is joined instead.
-MODEL_ROWS = 6_000_000
+WIDTH, SLACK = 2.0, 0.01
+BINS = 1000  # medians are exact to 1 / BINS, quartiles to sixteen times that
+#: N-grams of a file of the model.
+PER_FILE = 2_000_000
 #: Distinct n-grams that a task holds before it passes them on.
 HELD = 3_000_000
 
@@ -135,43 +150,106 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return lower.select("lang", "g", F.log("p").alias("logp"))
 
 
+def key(code: np.ndarray, lang: str) -> np.ndarray:
+    """Hash of n-grams of a language."""
+    salt = U(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    return mix(mix(code) + salt)
+
+
+def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
+    """Which of the files, each a range of hashes, holds h."""
+    return ((h >> U(32)) * U(slots) >> U(32)).astype(np.int64)
+
+
 class Model:
-    """Sorted hash arrays of one language."""
+    """A range of the sorted hash arrays."""
 
-    def __init__(self, g: np.ndarray, logp: np.ndarray):
-        h = mix(g.astype(U))
+    def __init__(self, h: np.ndarray, logp: np.ndarray, low: int, width: float):
         order = np.argsort(h)
-        self.hash, self.logp = h[order], logp[order]
-        self.bits = max(1, int(len(h)).bit_length())
-        self.first = np.searchsorted(self.hash >> U(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=U)).astype(np.int32)
-
-    def lookup(self, code: np.ndarray) -> np.ndarray:
-        """logp of codes that the model holds; nan of others."""
-        h = mix(code)
-        at = self.first[(h >> U(64 - self.bits)).astype(np.int64)]
-        out = np.full(len(code), np.nan)
-        todo = np.arange(len(code))
+        self.hash, self.logp, self.low, self.width = h[order], logp[order], low, width
+        # a directory over equal parts of the range, one for each n-gram
+        self.first = np.searchsorted(self._part(self.hash), np.arange(len(h) + 1)).astype(np.int32)
+
+    def _part(self, h: np.ndarray) -> np.ndarray:
+        return np.minimum((h - U(self.low)).astype(np.float64) / self.width * len(self.hash), len(self.hash) - 1).astype(np.int64)
+
+    def save(self, path: str) -> None:
+        own = f"{path}.{uuid.uuid4().hex}"  # a task may be run twice
+        with open(own, "wb") as f:
+            for a in (np.array([len(self.hash), self.low], U), self.hash, self.logp.astype(np.float64), self.first):
+                f.write(np.ascontiguousarray(a).tobytes())
+        os.replace(own, path)
+
+    @classmethod
+    def open(cls, path: str, width: float) -> Model:
+        self, every = cls.__new__(cls), np.memmap(path, np.uint8, "r")
+        n, low = every[:16].view(U).tolist()
+        self.hash, self.logp = every[16 : 16 + 8 * n].view(U), every[16 + 8 * n : 16 + 16 * n].view(np.float64)
+        self.first, self.low, self.width = every[16 + 16 * n :].view(np.int32), low, width
+        return self
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """logp of hashes that the model holds; nan of others."""
+        at = self.first[self._part(h)].astype(np.int64)
+        out = np.full(len(h), np.nan)
+        todo = np.arange(len(h))
         while len(todo):
             got = np.minimum(at[todo], len(self.hash) - 1)
-            hit = self.hash[got] == h[todo]
+            have = self.hash[got]
+            hit = have == h[todo]
             out[todo[hit]] = self.logp[got[hit]]
-            todo = todo[~hit & (self.hash[got] < h[todo]) & (at[todo] < len(self.hash))]
+            todo = todo[~hit & (have < h[todo]) & (at[todo] < len(self.hash))]
             at[todo] += 1
         return out
 
 
+def _keyed(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, own in by_lang(batch):
+                h = key(own.column("g").to_numpy().view(U), lang)
+                yield pa.RecordBatch.from_arrays([pa.array(slot_of(h, slots)), pa.array(h.view(np.int64)), own.column("logp")], ["slot", "h", "logp"])
+
+    return run
+
+
+def _write(folder: str, slots: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        slot = int(pdf["slot"].iloc[0])
+        os.makedirs(folder, exist_ok=True)
+        low = -(-(slot << 32) // slots) << 32  # the least hash of the range
+        Model(pdf["h"].to_numpy().view(U), pdf["logp"].to_numpy(), low, float(1 << 64) / slots).save(f"{folder}/{slot}")
+        return pd.DataFrame({"slot": [slot]})
+
+    return run
+
+
 SCORE = pa.schema([("_q_row", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("total", pa.float64())])
 
 
-def _score(shared):
+def _score(folder: str, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[int, Model] = {}
+
+        def look(h: np.ndarray) -> np.ndarray:
+            slot = slot_of(h, slots)
+            out = np.empty(len(h))
+            order = np.argsort(slot, kind="stable") if slots > 1 else np.arange(len(h))
+            cuts = np.flatnonzero(np.diff(slot[order])) + 1
+            for part in np.split(order, cuts):
+                s = int(slot[part[0]])
+                if s not in files:
+                    files[s] = Model.open(f"{folder}/{s}", float(1 << 64) / slots)
+                out[part] = files[s].lookup(h[part])
+            return out
+
         for batch in batches:
             for part in chunks(batch):
                 for lang, own in by_lang(part):
                     code, offs = codes(own.column("text"))
                     total, full = np.zeros(len(offs) - 1), np.diff(offs) > 0
                     if len(code):  # each text by itself, so that copies get the same bits
-                        total[full] = np.add.reduceat(shared.value[lang].lookup(code), offs[:-1][full])
+                        total[full] = np.add.reduceat(look(key(code, lang)), offs[:-1][full])
                     yield pa.RecordBatch.from_arrays([own.column("_q_row"), own.column("lang"), pa.array(np.diff(offs)), pa.array(total)], schema=SCORE)
 
     return run
@@ -182,60 +260,76 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             code, offs = codes(part.column("text"))
-            row, lang = part.column("_q_row").to_pylist(), part.column("lang").to_pylist()
-            for d in range(part.num_rows):
-                keys, n = np.unique(code[offs[d] : offs[d + 1]], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"_q_row": pa.array([row[d]] * len(keys), pa.int64()), "lang": pa.array([lang[d]] * len(keys), pa.string()), "g": keys.astype(np.int64), "c": n.astype(np.int64)})
+            doc = np.repeat(np.arange(part.num_rows), np.diff(offs))
+            order = np.lexsort((code, doc))
+            code, doc = code[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
+            at = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([part.column("_q_row").take(at), part.column("lang").take(at), pa.array(code[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(code))))], ["_q_row", "lang", "g", "c"])
 
 
-def score(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """_q_row (hash of lang and text), lang, n bytes, logppl; a row each time a text occurs."""
+def score(docs: DataFrame, per_file: int = PER_FILE, files: bool = True) -> DataFrame:
+    """_q_row (hash of lang and text), lang, n bytes, logppl; a row each time a
+    text occurs. files: whether the model may be held in files."""
     spark = docs.sparkSession
     model = cut(probabilities(count(docs)))
     texts = prepared(docs).withColumn("_q_row", F.xxhash64("lang", "text"))
-    if model.limit(model_rows + 1).count() <= model_rows:
-        table = model.toArrow()
-        arrays = {}
-        for lang in pc.unique(table["lang"]).to_pylist():
-            own = table.filter(pc.equal(table["lang"], lang))
-            arrays[lang] = Model(own["g"].to_numpy(), own["logp"].to_numpy())
-        totals = texts.mapInArrow(_score(spark.sparkContext.broadcast(arrays)), "_q_row long, lang string, n long, total double")
+    url = urlparse(checkpoint_dir(spark))
+    if files and url.scheme in ("", "file"):
+        folder, slots = os.path.join(url.path, f"perplexity-{uuid.uuid4().hex}"), max(1, -(-model.count() // per_file))
+        keyed = model.mapInArrow(_keyed(slots), "slot long, h long, logp double")
+        keyed.groupBy("slot").applyInPandas(_write(folder, slots), "slot long").agg(F.count("*")).first()
+        totals = texts.mapInArrow(_score(folder, slots), "_q_row long, lang string, n long, total double")
     else:
+        folder = ""
         grams = texts.distinct().mapInArrow(_profile, "_q_row long, lang string, g long, c long")
         once = grams.join(model, ["lang", "g"]).groupBy("_q_row", "lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("total"))
         totals = texts.select("_q_row", "lang").join(once, ["_q_row", "lang"])  # a row each time a text occurs, as above
-    return totals.where("n > 0").select("_q_row", "lang", "n", (-F.col("total") / F.col("n")).alias("logppl"))
+    out = cut(totals.where("n > 0").select("_q_row", "lang", "n", (-F.col("total") / F.col("n")).alias("logppl")))
+    if folder:
+        shutil.rmtree(folder, ignore_errors=True)
+    return out
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
-    """lang, lo, hi from quartiles of binned log perplexity."""
-    bins = scored.groupBy("lang", F.floor(F.col("logppl") * BINS).alias("bin")).agg(F.count("*").alias("k"))
+def _quantiles(values: DataFrame, bins: int, **at: float) -> DataFrame:
+    """lang and quantiles of the binned column x."""
+    counted = values.groupBy("lang", F.floor(F.col("x") * bins).alias("bin")).agg(F.count("*").alias("k"))
     order = Window.partitionBy("lang").orderBy("bin")
-    at = bins.withColumns({"upto": F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(Window.partitionBy("lang"))})
-    q = lambda f: F.min(F.when(F.col("upto") >= f * F.col("all"), F.col("bin")))
-    iqr = F.col("q3") - F.col("q1") + 1
-    return at.groupBy("lang").agg(q(0.25).alias("q1"), q(0.75).alias("q3")).select(
-        "lang", ((F.col("q1") - width * iqr) / BINS).alias("lo"), ((F.col("q3") + 1 + width * iqr) / BINS).alias("hi")
-    )
+    upto = counted.withColumns({"upto": F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(Window.partitionBy("lang"))})
+    return upto.groupBy("lang").agg(*(((F.min(F.when(F.col("upto") >= f * F.col("all"), F.col("bin"))) + 0.5) / bins).alias(name) for name, f in at.items()))
+
+
+def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
+    """lang, med, below, above: a text of n bytes may lie in
+    [med - below / sqrt(n), med + above / sqrt(n)]."""
+    med = _quantiles(scored.select("lang", F.col("logppl").alias("x")), BINS, med=0.5)
+    off = scored.join(F.broadcast(med), "lang").select("lang", ((F.col("logppl") - F.col("med")) * F.sqrt(F.col("n").cast("double"))).alias("x"))
+    iqr = F.col("q3") - F.col("q1") + 16 / BINS
+    return med.join(_quantiles(off, BINS // 16, q1=0.25, q3=0.75), "lang").select("lang", "med", (width * iqr - F.col("q1")).alias("below"), (F.col("q3") + width * iqr).alias("above"))
+
+
+def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, **kw) -> DataFrame:
+    """_q_row, lang, n, logppl, lo, hi, reason (null, "low" or "high"); a row each time a text occurs."""
+    scored = score(docs, **kw)
+    root = F.sqrt(F.col("n").cast("double"))
+    lo, hi = F.col("med") - F.col("below") / root - slack, F.col("med") + F.col("above") / root + slack
+    reason = F.when(F.col("logppl") < F.col("lo"), "low").when(F.col("logppl") > F.col("hi"), "high")
+    return scored.join(bands(scored, width), "lang").withColumns({"lo": lo, "hi": hi}).drop("med", "below", "above").withColumn("reason", reason)
 
 
-def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """_q_row, lang, n, logppl, reason (null, "low" or "high"); a row each time a text occurs."""
-    scored = cut(score(docs, model_rows))
-    give = slack / F.sqrt(F.col("n").cast("double"))
-    reason = F.when(F.col("logppl") < F.col("lo") - give, "low").when(F.col("logppl") > F.col("hi") + give, "high")
-    return scored.join(bands(scored, width), "lang").withColumn("reason", reason)
+def _row() -> Column:
+    return F.xxhash64(F.coalesce(F.col("lang"), F.lit("und")).cast("string"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, reason for every row of docs."""
     judged = judge(docs, **kw).select("_q_row", "n", "logppl", "reason").dropDuplicates(["_q_row"])
-    rows = docs.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("lang"), F.lit("und")).cast("string"), F.coalesce(F.col("text"), F.lit(""))).alias("_q_row"))
+    rows = docs.select("doc_id", "lang", _row().alias("_q_row"))
     return rows.join(judged, "_q_row", "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n_bytes"), F.round(F.exp("logppl"), 4).alias("perplexity"), "reason")
 
 
 def keep(docs: DataFrame, **kw) -> DataFrame:
     """docs without the rejected texts."""
-    out = judge(docs, **kw).where("reason is not null").select("_q_row").distinct()
-    key = F.xxhash64(F.coalesce(F.col("lang"), F.lit("und")).cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(out, key == F.col("_q_row"), "left_anti")
+    name = fresh(docs, "_q_row")
+    out = judge(docs, **kw).where("reason is not null").select(F.col("_q_row").alias(name)).distinct()
+    return docs.withColumn(name, _row()).join(out, name, "left_anti").drop(name)

@@ -189,10 +189,13 @@ class Brute:
         return (t[g] - d[min(t[g], 3) - 1]) / total + gamma * (1 / 257 if len(g) == 1 else self.p(g[1:]))
 
 
-@pytest.mark.parametrize("model_rows", [quality.MODEL_ROWS, 0])
-def test_perplexity_against_the_definition(make, model_rows):
+WAYS = [{}, {"per_file": 50}, {"files": False}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_perplexity_against_the_definition(make, way):
     rows = [(k, " ".join(words(300 + k, 8)), "en" if k % 2 else "de") for k in range(8)] + [(20, "", "en"), (21, None, "en"), (None, "abc abc", None)]
-    got = {(r["doc_id"]): r for r in quality.report(make(rows), model_rows=model_rows).collect()}
+    got = {(r["doc_id"]): r for r in quality.report(make(rows), **way).collect()}
     for lang in ("en", "de"):
         own = [(i, t) for i, t, x in rows if x == lang and t]
         model = Brute([t for _, t in own])
@@ -203,14 +206,25 @@ def test_perplexity_against_the_definition(make, model_rows):
     assert got[20]["perplexity"] is None and got[21]["reason"] is None and got[None]["perplexity"] is not None
 
 
-def test_copies_count_alike_with_either_model(make):
+def test_copies_count_alike_with_the_model_in_files_or_joined(make):
     one = [(k, " ".join(words(700 + k, 5 + 3 * k)), "en") for k in range(30)]
     docs = make([*one, *((100 + k, one[0][1], "en") for k in range(200))])
-    judged = [sorted((r["_q_row"], r["reason"] or "", round(r["lo"], 6), round(r["hi"], 6)) for r in quality.judge(docs, 0.5, 0.5, n).collect()) for n in (quality.MODEL_ROWS, 0)]
-    assert len(judged[0]) == 230 and judged[0] == judged[1] and {x[1] for x in judged[0]} > {""}
+    judged = [sorted((r["_q_row"], r["reason"] or "", round(r["lo"], 6), round(r["hi"], 6)) for r in quality.judge(docs, 0.5, 0.0, **way).collect()) for way in WAYS]
+    assert len(judged[0]) == 230 and judged[0] == judged[1] == judged[2] and {x[1] for x in judged[0]} > {""}
     assert quality.report(docs).count() == 230
 
 
+def test_bands_against_numpy(make):
+    docs = make([(k, " ".join(words(k, 3 + k % 50)), "en" if k % 3 else "de") for k in range(300)])
+    for r in quality.bands(scored := quality.score(docs)).collect():
+        x, n = np.array([(s["logppl"], s["n"]) for s in scored.where(f"lang = '{r['lang']}'").collect()]).T
+        q = lambda v, f, bins: (np.sort(np.floor(v * bins))[int(np.ceil(f * len(v))) - 1] + 0.5) / bins
+        med = q(x, 0.5, quality.BINS)
+        off, bins = (x - med) * np.sqrt(n), quality.BINS // 16
+        iqr = q(off, 0.75, bins) - q(off, 0.25, bins) + 16 / quality.BINS
+        assert (r["med"], r["below"], r["above"]) == pytest.approx((med, 2 * iqr - q(off, 0.25, bins), q(off, 0.75, bins) + 2 * iqr))
+
+
 def test_quality_keeps_awkward_rows_but_junk(make, awkward):
     clean = [(100 + k, " ".join(words(k % 40, 60)), "en") for k in range(120)]
     junk = [(900, "%%% &&& ### " * 60, "en")]
