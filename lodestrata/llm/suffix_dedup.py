@@ -5,40 +5,46 @@ Earlier means by (doc_id, content hash, position).
 
 The corpus is cut so that equal runs meet in one shard: a window of `least`
 words belongs to its minimizer, the least hash of its runs of SEED words, and
-consecutive windows with one minimizer make a segment. Segments are grouped by
-minimizer and content. Of segments of equal content all but the first repeat it
-whole. Where segments of one minimizer differ, the first of each content goes to
-a shard, whose suffix array, with common prefixes, tells which of their windows
-are equal (see suffix_sort). A shard's text leaves out what no window can
-share: positions whose run of SEED words is single in the shard.
-
-A shard's queues spill to the shared checkpoint folder; shards hold about
-`per_shard` words, but one minimizer's segments are never parted.
+consecutive windows with one minimizer make a segment. Segments whose minimizer
+occurs once are done with. Of segments of equal content all but the first repeat
+it whole. Where segments of one minimizer differ, the first of each content goes
+to a shard, whose suffix array, with common prefixes, tells which of their
+windows are equal (see suffix_sort). A minimizer with more than an eighth of a
+shard is parted by the second least hash of its windows. A shard's text leaves
+out what no window can share: positions whose run of SEED words is single in the
+shard.
+
+A shard is streamed to files in the shared checkpoint folder and sorted there,
+so a task holds a few blocks of it, however large it is; its files go when it is
+done. Where that folder isn't a path (an object store) a shard of about
+`per_shard` words is held in memory.
 
 Defined results: a document is a pair of doc_id and text; repeated rows are one
 document. Null ids or texts, and texts of fewer than `least` words, give
-nothing. Runs may repeat within a document. Other columns aren't read.
+nothing; an empty table gives no rows. Runs may repeat within a document. Other
+columns, of any name, aren't read.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.suffix_sort import sort
+from lodestrata.llm.suffix_sort import BASE, HELD, Disk, Tape, ranked, remove, sort
 from lodestrata.llm.text import U, Words, chunks, mix, powers, roll, words
 from lodestrata.runtime import checkpoint_dir, cut
 
 LEAST, SEED = 50, 8
 #: Words of a shard's suffix array.
-PER_SHARD = 2_000_000
+PER_SHARD = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -104,109 +110,200 @@ def _segments(least: int):
     return run
 
 
+def parted(g: np.ndarray, fp: U, n: int, least: int) -> Iterator[tuple[U, int, int]]:
+    """Key, first window and number of windows of the parts of a segment of n
+    windows with seeds g, by the second least hash."""
+    rest = np.where(g == fp, U(0xFFFFFFFFFFFFFFFF), g)
+    _, place = least_of_windows(rest, np.array([0, len(g)]), least - SEED + 1)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    for a, b in zip(first, np.append(first[1:], n)):
+        yield mix(np.array([fp ^ mix(rest[place[a] : place[a] + 1])[0]], U))[0], int(a), int(b - a)
+
+
 def _slices(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 w = words(part.column("text"))
                 rows: list[list] = [[], [], [], [], []]
+
+                def give(key, i, h, s, n, base):
+                    a = base + s
+                    for c, v in zip(rows, (int(key.view(np.int64)), i, h, s, w.hash[a : a + n + least - 1].tobytes())):
+                        c.append(v)
+
                 for d, (i, h, spots) in enumerate(zip(*(part.column(c).to_pylist() for c in ("i", "h", "spots")))):
                     base = w.offs[d]
                     for x in spots:
+                        fp = np.array([x["fp"]], np.int64).view(U)[0]
+                        if not x["hot"]:
+                            give(fp, i, h, x["s"], x["n"], base)
+                            continue
                         a = base + x["s"]
-                        for c, v in zip(rows, (x["fp"], i, h, x["s"], w.hash[a : a + x["n"] + least - 1].tobytes())):
-                            c.append(v)
+                        g, _ = roll(w.hash[a : a + x["n"] + least - 1], np.array([0, x["n"] + least - 1]), SEED)
+                        for key, off, n in parted(g, fp, x["n"], least):
+                            give(key, i, h, x["s"] + off, n, base)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["fp", "i", "h", "s", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["key", "i", "h", "s", "words"])
 
     return run
 
 
-def later_windows(parts: list[np.ndarray], least: int, folder: str | None) -> list[np.ndarray]:
-    """For each part, the starts of its windows that occur in an earlier part or
-    earlier in it."""
-    lens = np.array([len(p) for p in parts])
-    offs = np.concatenate([[0], np.cumsum(lens)])
-    every = np.concatenate(parts)
-    g, at = roll(every, offs, SEED)
-    _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-    again = np.zeros(len(every), bool)
-    again[at] = counts[inverse] > 1
-    # runs of repeated seeds that are long enough for a window
-    part_of = np.repeat(np.arange(len(parts)), lens)
-    live = np.flatnonzero(again)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
-    if not len(live):
-        return out
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(live) > 1) | (np.diff(part_of[live]) > 0)]))
-    size = np.diff(np.append(first, len(live)))
-    long = size >= least - SEED + 1
-    begin, count = live[first[long]], size[long] + SEED - 1
-    if not len(begin):
-        return out
-    # the pieces one after another, each closed by symbol 1, and 0 at the end
-    total = int(count.sum()) + len(count)
-    start = np.cumsum(count + 1) - (count + 1)
-    source = np.arange(total) - np.repeat(start, count + 1) + np.repeat(begin, count + 1)
-    closing = start + count
-    inside = np.ones(total, bool)
-    inside[closing] = False
-    text = np.ones(total + 1, np.int64)
-    text[-1] = 0
-    text[:-1][inside] = np.unique(every[source[inside]], return_inverse=True)[1] + 2
-    sa, common = sort(text, folder)
-    room = np.zeros(total + 1, np.int64)
-    room[:-1] = np.repeat(closing, count + 1) - np.arange(total)
-    group = np.cumsum(common < least) - 1
-    heads = np.flatnonzero(common < least)
-    valid = room[sa] >= least
-    origin = np.full(total + 1, np.iinfo(np.int64).max)
-    origin[:-1] = source
-    key = np.where(valid, origin[sa], np.iinfo(np.int64).max)
-    later = np.sort(origin[sa[valid & (key != np.minimum.reduceat(key, heads)[group])]])
-    owner = part_of[later]
-    for p in np.unique(owner):
-        out[p] = later[owner == p] - offs[p]
-    return out
-
-
-LATER = "i long, h long, s int, n int"
-
-
-def _shard(least: int, folder: str | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "h", "s"], kind="stable")
-        if folder:
-            os.makedirs(folder, exist_ok=True)
-        found = later_windows([np.frombuffer(b, U) for b in pdf["words"]], least, folder)
-        rows = []
-        for i, h, s, w in zip(pdf["i"], pdf["h"], pdf["s"], found):
-            if len(w):
-                a = np.flatnonzero(np.concatenate([[True], np.diff(w) > 1]))
-                rows += [(i, h, s + int(w[x]), int(n)) for x, n in zip(a, np.diff(np.append(a, len(w))))]
-        return pd.DataFrame(rows, columns=["i", "h", "s", "n"])
+NONE = np.iinfo(np.int64).max
+
+
+class Shard:
+    """The parts of a shard, in order, and which of their windows occur earlier."""
+
+    def __init__(self, disk: Disk, least: int, base: int = BASE):
+        self.disk, self.least, self.base = disk, least, base
+        self.words, self.meta = Tape(disk, 1), Tape(disk, 4)
+        self.note: dict = {}
+
+    def add(self, words: np.ndarray, meta: np.ndarray) -> None:
+        """words of parts, and for each part doc_id, hash, first word and length."""
+        self.words.append(words.view(np.int64)[:, None])
+        self.meta.append(meta)
+
+    def _parts(self, meta: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Blocks of parts: their rows, where their words begin, their offsets from there."""
+        step, at = max(1, self.disk.held // (2 * self.least)), 0
+        for a in range(0, len(meta), step):
+            own = np.asarray(meta[a : a + step])
+            offs = np.concatenate([[0], np.cumsum(own[:, 3])])
+            yield own, at, offs
+            at += int(offs[-1])
+
+    def later(self) -> Iterator[np.ndarray]:
+        """Rows of doc_id, hash, first word and number of later windows."""
+        disk, least, meta = self.disk, self.least, self.meta.rows()
+        every = self.words.rows()[:, 0]
+        n = len(every)
+        seeds, places = Tape(disk, 1), Tape(disk, 1)
+        for _, at, offs in self._parts(meta):
+            g, p = roll(np.array(every[at : at + offs[-1]]).view(U), offs, SEED)
+            seeds.append(g.view(np.int64)[:, None])
+            places.append((p + at)[:, None])
+        again, spot = ranked(disk, seeds.rows()[:, 0])[2], places.rows()[:, 0]
+        flagged = disk.empty(n, bool)
+        for a, b in disk.spans(len(spot)):
+            flagged[spot[a:b]] = again[a:b]
+        # pieces of repeated seeds that are long enough for a window: the places
+        # of their words and the words from there on; a place of -1 closes each
+        pieces, inside = Tape(disk, 2), Tape(disk, 1)
+        for _, at, offs in self._parts(meta):
+            live = np.flatnonzero(flagged[at : at + offs[-1]])
+            if not len(live):
+                continue
+            owner = np.searchsorted(offs, live, "right")
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(live) > 1) | (np.diff(owner) > 0)]))
+            size = np.diff(np.append(first, len(live)))
+            long = size >= least - SEED + 1
+            begin, count = live[first[long]] + at, size[long] + SEED - 1
+            if not len(begin):
+                continue
+            start = np.cumsum(count + 1) - (count + 1)
+            k = np.arange(int((count + 1).sum())) - np.repeat(start, count + 1)
+            room = np.repeat(count, count + 1) - k
+            place = np.where(room > 0, np.repeat(begin, count + 1) + k, -1)
+            pieces.append(np.column_stack([place, room]))
+            inside.append(np.asarray(every[place[place >= 0]])[:, None])
+        if not pieces.size:
+            return
+        pieces.append(np.array([[-1, 0]], np.int64))
+        piece, symbol = pieces.rows(), ranked(disk, inside.rows()[:, 0])[0]
+        text, done = disk.empty(len(piece)), 0
+        for a, b in disk.spans(len(piece)):
+            real = piece[a:b, 0] >= 0
+            own = np.ones(b - a, np.int64)
+            many = int(real.sum())
+            own[real] = np.asarray(symbol[done : done + many]) + 2
+            text[a:b] = own
+            done += many
+        text[len(piece) - 1] = 0
+        sa, common = sort(text, disk.folder, disk.held, self.base, self.note)
+
+        def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """In blocks of the suffix array: where a window begins, and whether
+            it differs from the one before."""
+            for a, b in disk.spans(len(piece)):
+                own = np.asarray(piece[np.asarray(sa[a:b])])
+                yield np.where(own[:, 1] >= least, own[:, 0], NONE), np.asarray(common[a:b]) < least
+
+        least_of, held = Tape(disk, 1), None
+        for place, new in entries():
+            heads = np.flatnonzero(new)
+            if held is not None:
+                held = min(held, int(place[: heads[0] if len(heads) else None].min(initial=NONE)))
+            if len(heads):
+                low = np.minimum.reduceat(place, heads)
+                least_of.append(np.concatenate([np.array([] if held is None else [held], np.int64), low[:-1]])[:, None])
+                held = int(low[-1])
+        least_of.append(np.array([[held]], np.int64))
+        lows, group, late = least_of.rows()[:, 0], -1, disk.empty(n, bool)
+        for place, new in entries():
+            g = group + np.cumsum(new)
+            late[place[(place != NONE) & (place != lows[g])]] = True
+            group = int(g[-1])
+        for own, at, offs in self._parts(meta):
+            live = np.flatnonzero(late[at : at + offs[-1]])
+            if len(live):
+                owner = np.searchsorted(offs, live, "right") - 1
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(live) > 1) | (np.diff(owner) > 0)]))
+                rows = own[owner[first]].copy()
+                rows[:, 2] += live[first] - offs[owner[first]]
+                rows[:, 3] = np.diff(np.append(first, len(live)))
+                yield rows
+
+
+LATER = pa.schema([("i", pa.int64()), ("h", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+
+
+def _shard(least: int, folder: str | None, held: int, base: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = folder and os.path.join(folder, uuid.uuid4().hex)
+        if work:
+            os.makedirs(work, exist_ok=True)
+        try:
+            shard = Shard(Disk(work, held), least, base)
+            for batch in batches:
+                if batch.num_rows:
+                    data = batch.column("words")
+                    size = pc.binary_length(data).to_numpy() // 8
+                    every = b"".join(data.to_pylist())
+                    shard.add(np.frombuffer(every, U), np.column_stack([*(batch.column(c).to_numpy().astype(np.int64) for c in ("i", "h", "s")), size]))
+            if shard.meta.size:
+                for rows in shard.later():
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, c], LATER.field(c).type) for c in range(4)], schema=LATER)
+        finally:
+            if work:
+                remove(work)
 
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST, per_shard: int = PER_SHARD) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, per_shard: int = PER_SHARD, held: int = HELD, base: int = BASE) -> DataFrame:
     """doc_id, first_word, end_word: the runs of each document that are made of
     windows of `least` words with an earlier occurrence."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"), "text")
     segments = texts.mapInArrow(_segments(least), "fp long, ch long, i long, h long, s int, n int")
-    own = F.struct("i", "h", "s")
-    by_seed = Window.partitionBy("fp")
-    marked = segments.withColumns({"mixed": F.min("ch").over(by_seed) != F.max("ch").over(by_seed), "first": F.min(own).over(Window.partitionBy("fp", "ch"))})
-    marked = cut(marked.withColumn("repeat", own != F.col("first")).where("repeat or mixed").drop("first", "mixed", "ch"))
-    whole = marked.where("repeat").select("i", "h", "s", "n")
-
-    leading = marked.where("not repeat").drop("repeat").distinct()
-    total = leading.agg(F.sum(F.col("n") + least - 1)).first()[0] or 0
-    spots = leading.groupBy("i", "h").agg(F.collect_list(F.struct("fp", "s", "n")).alias("spots"))
-    slices = texts.join(spots, ["i", "h"]).select("i", "h", "text", "spots").dropDuplicates(["i", "h"]).mapInArrow(_slices(least), "fp long, i long, h long, s int, words binary")
-    shard = F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-total // per_shard))))
-    sorted_ = slices.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard(least, shared_folder(spark)), LATER)
+    # what combines before it is shuffled, then joins that can be split where a minimizer is hot
+    shared = segments.groupBy("fp").agg(F.count("*").alias("k"), (F.min("ch") != F.max("ch")).alias("mixed")).where("k > 1").drop("k")
+    some = cut(segments.join(shared, "fp"))
+    firsts = cut(some.groupBy("fp", "ch", "mixed").agg(F.min(F.struct("i", "h", "s", "n")).alias("first")))
+    repeated = some.select("fp", "ch", "i", "h", "s", "n").join(firsts.select("fp", "ch", "first"), ["fp", "ch"])
+    whole = repeated.where((F.col("i") != F.col("first.i")) | (F.col("h") != F.col("first.h")) | (F.col("s") != F.col("first.s"))).select("i", "h", "s", "n")
+
+    leading = firsts.where("mixed").select("fp", "first.*")
+    words_of = leading.groupBy("fp").agg(F.sum(F.col("n") + least - 1).alias("w"))
+    total = words_of.agg(F.sum("w")).first()[0] or 0
+    hot = words_of.where(F.col("w") > per_shard // 8).select("fp", F.lit(True).alias("hot"))
+    spots = leading.join(hot, "fp", "left").groupBy("i", "h").agg(F.collect_list(F.struct("fp", "s", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
+    slices = texts.join(spots, ["i", "h"]).select("i", "h", "text", "spots").dropDuplicates(["i", "h"]).mapInArrow(_slices(least), "key long, i long, h long, s int, words binary")
+    shards = max(1, -(-total // per_shard))
+    dealt = slices.repartitionById(shards, F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).sortWithinPartitions("i", "h", "s")
+    sorted_ = dealt.mapInArrow(_shard(least, shared_folder(spark), held, base), "i long, h long, s int, n int")
 
     spans = whole.unionByName(sorted_).select("i", "h", F.col("s").alias("a"), (F.col("s") + F.col("n") + least - 1).alias("b")).distinct()
     order = Window.partitionBy("i", "h").orderBy("a", "b")

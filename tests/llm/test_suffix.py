@@ -1,13 +1,14 @@
 import random
+import tempfile
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm import chaining, suffix_dedup
+from lodestrata.llm import chaining, suffix_dedup, suffix_sort
 from lodestrata.llm.suffix_sort import sort
-from lodestrata.llm.text import word_hash
+from lodestrata.llm.text import U, word_hash
 
 from .conftest import words
 
@@ -31,13 +32,53 @@ def test_suffix_array_and_common_prefixes(values, held, base):
     assert (list(sa), list(common)) == brute_suffixes(t)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=60), st.integers(1, 40), st.integers(0, 40))
+def test_the_same_from_files(values, held, base):
+    t = [*values, *values[3:20], 0]
+    with tempfile.TemporaryDirectory() as folder:
+        sa, common = sort(np.array(t), folder, held, base)
+        assert (list(sa), list(common)) == brute_suffixes(t)
+
+
 def test_queues_on_disk(tmp_path):
     r = random.Random(1)
     t = [r.randint(1, 400) for _ in range(1500)]
     t = [*t, *t[200:700], *[9] * 60, *t[100:300], 0]
-    sa, common = sort(np.array(t), str(tmp_path), held=100, base=0)
+    note = {}
+    sa, common = sort(np.array(t), str(tmp_path), held=100, base=0, note=note)
     assert (list(sa), list(common)) == brute_suffixes(t)
-    assert not list(tmp_path.iterdir())  # the files are gone
+    assert note["files"] > 20 and note["levels"] > 2
+
+
+def test_a_shard_beyond_memory_recurses_and_spills(tmp_path):
+    """At the limits of production, with a text of several times what is held."""
+    r = np.random.default_rng(4)
+    t = r.integers(2, 40_000, 250_000)
+    t = np.concatenate([t, t[30_000:230_000], r.permutation(t)[:150_000], t[:200_000], [0]])
+    assert len(t) > 6 * suffix_sort.HELD
+    note = {}
+    sa, common = map(np.asarray, sort(t, str(tmp_path), note=note))
+    assert note["levels"] >= 4 and note["files"] > 8
+    assert np.array_equal(np.sort(sa), np.arange(len(t)))
+    for x in r.integers(1, len(t), 3000):
+        a, b, k = int(sa[x - 1]), int(sa[x]), int(common[x])
+        assert np.array_equal(t[a : a + k], t[b : b + k]) and t[a + k] < t[b + k]
+
+
+def test_a_hot_minimizer_is_parted_by_content():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        g = r.integers(1, 99, 60, dtype=np.int64).astype(U)
+        own = {}
+        for key, a, n in suffix_dedup.parted(g, g.min(), 60 - 42, 50):
+            for w in range(a, a + n):
+                own[w] = key
+        assert sorted(own) == list(range(18))
+        # a window's part depends on its own seeds alone
+        for w in range(18):
+            (key, a, n), = suffix_dedup.parted(g[w : w + 43], g.min(), 1, 50)
+            assert key == own[w]
 
 
 def corpus():
@@ -74,7 +115,7 @@ def covered(rows):
 def test_repeats_are_exact(make):
     rows = corpus()
     assert covered(suffix_dedup.repeats(make(rows)).collect()) == repeated_words(rows, 50)
-    assert covered(suffix_dedup.repeats(make(rows), per_shard=100).collect()) == repeated_words(rows, 50)
+    assert covered(suffix_dedup.repeats(make(rows), per_shard=100, held=64, base=8).collect()) == repeated_words(rows, 50)
 
 
 def test_repeats_of_awkward_rows(make, awkward, spark):
