@@ -13,20 +13,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star steps, which take a number of rounds
     that grows with the logarithm of the component, not with its diameter.
-    Each round is written to the checkpoint folder. Null ends are dropped.
+    Neighbourhoods are never collected: their minima are aggregated before they
+    are shuffled and joined back, which can be split where a node is hot. Each
+    round is written to the checkpoint folder. Null ends are dropped.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct())
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = e.where("u != v")
     before = None
     while True:
-        both = e.union(e.select("v", "u")).groupBy("u").agg(F.collect_set("v").alias("vs"))
-        least = F.least("u", F.array_min("vs"))
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
         # large star: the larger neighbours go to the least of the neighbourhood
-        e = both.select(least.alias("m"), F.explode(F.filter("vs", lambda v: v > F.col("u"))).alias("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: each node and its smaller neighbours go to the least of these
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").groupBy("u").agg(F.collect_set("v").alias("vs"))
-        e = down.withColumn("m", F.array_min("vs")).select(F.explode(F.concat("vs", F.array("u"))).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         e = cut(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
