@@ -110,8 +110,9 @@ def test_near_duplicates_against_every_pair(make):
             x, y = sorted((find(i), find(j)))
             top[y] = x
     want = {i: find(i) for i in top if sum(find(j) == find(i) for j in top) > 1}
-    got = {r["doc_id"]: r["group_id"] for r in minhash.near_groups(make(rows)).collect()}
-    assert got == want
+    for long in (minhash.LONG, 1):
+        got = {r["doc_id"]: r["group_id"] for r in minhash.near_groups(make(rows), long=long).collect()}
+        assert got == want
     kept = minhash.drop_near(make(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in top if find(i) == i)
     assert kept.columns == make(rows).columns
