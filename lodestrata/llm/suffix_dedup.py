@@ -44,7 +44,7 @@ from lodestrata.runtime import checkpoint_dir, cut
 
 LEAST, SEED = 50, 8
 #: Words of a shard's suffix array.
-PER_SHARD = 500_000
+PER_SHARD = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -184,10 +184,15 @@ class Shard:
             g, p = roll(np.array(every[at : at + offs[-1]]).view(U), offs, SEED)
             seeds.append(g.view(np.int64)[:, None])
             places.append((p + at)[:, None])
-        again, spot = ranked(disk, seeds.rows()[:, 0])[2], places.rows()[:, 0]
+        rank, _, again = ranked(disk, seeds.rows()[:, 0])
+        spot = places.rows()[:, 0]
         flagged = disk.empty(n, bool)
         for a, b in disk.spans(len(spot)):
             flagged[spot[a:b]] = again[a:b]
+        disk.drop(rank, again)
+        del rank, again, spot
+        seeds.free()
+        places.free()
         # pieces of repeated seeds that are long enough for a window: the places
         # of their words and the words from there on; a place of -1 closes each
         pieces, inside = Tape(disk, 2), Tape(disk, 1)
@@ -211,7 +216,9 @@ class Shard:
         if not pieces.size:
             return
         pieces.append(np.array([[-1, 0]], np.int64))
-        piece, symbol = pieces.rows(), ranked(disk, inside.rows()[:, 0])[0]
+        disk.drop(flagged)
+        piece = pieces.rows()
+        symbol, _, again = ranked(disk, inside.rows()[:, 0])
         text, done = disk.empty(len(piece)), 0
         for a, b in disk.spans(len(piece)):
             real = piece[a:b, 0] >= 0
@@ -221,7 +228,12 @@ class Shard:
             text[a:b] = own
             done += many
         text[len(piece) - 1] = 0
+        inside.free()
+        disk.drop(symbol, again)
+        del symbol, again, flagged
         sa, common = sort(text, disk.folder, disk.held, self.base, self.note)
+        disk.drop(text)
+        del text
 
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """In blocks of the suffix array: where a window begins, and whether

@@ -40,7 +40,7 @@ I64 = np.int64
 #: Names that a recursion sorts in memory rather than by inducing them.
 BASE = 1 << 12
 #: Rows that a queue, a tape or a block holds in memory.
-HELD = 1 << 17
+HELD = 1 << 16
 
 
 class Disk:
@@ -59,6 +59,15 @@ class Disk:
             return np.zeros(n, dtype)
         return np.memmap(self.path(), dtype, "w+", shape=(n,))
 
+    def drop(self, *arrays: np.ndarray | None) -> None:
+        """Removes the files of arrays, or of what they are views of; the space
+        is given back when nobody refers to them any more."""
+        for a in arrays:
+            while isinstance(a, np.ndarray):
+                if isinstance(a, np.memmap) and a.filename and os.path.exists(a.filename):
+                    os.remove(a.filename)
+                a = a.base
+
     def spans(self, n: int) -> Iterator[tuple[int, int]]:
         for a in range(0, n, self.held):
             yield a, min(n, a + self.held)
@@ -143,6 +152,8 @@ class Queue:
             step = self.disk.held * getattr(self, "width", 1)
             for a in range(0, n, step):
                 yield np.fromfile(path, I64, min(step, n - a), offset=8 * (at + a)).reshape(-1, self.width)
+            if not places and os.path.exists(path):
+                os.remove(path)
         parts = self.parts.pop(slot, [])
         self.size -= sum(map(len, parts))
         yield from parts
@@ -157,7 +168,8 @@ class Queue:
 
     def free(self) -> None:
         for path, _ in self.runs:
-            os.remove(path)
+            if os.path.exists(path):
+                os.remove(path)
 
 
 def ranges(disk: Disk, counts: np.ndarray, most: int) -> np.ndarray:
@@ -377,14 +389,17 @@ def _sort(text: np.ndarray, disk: Disk, base: int, note: dict) -> tuple[np.ndarr
             known = np.where(q > 0, np.where(end < m, lms[np.minimum(end, m - 1)], n) - at[:-1], 0)
             shared[1:] = _extend(text, at[:-1], at[1:], known)
         first.append(np.column_stack([text[at], at, shared])[1 if a else 0 :])
+    disk.drop(order, common, name, lms)
     counts = histogram(disk, (np.asarray(text[a:b]) for a, b in disk.spans(n)), symbols)
     bounds = ranges(disk, counts, max(1, min(disk.held // 2, max(64, int(n**0.5)))))
-    del order, common, name, counts
+    disk.drop(counts)
+    del order, common, name, counts, lms
     level = Level(text, kinds, symbols, disk, bounds)
     l_type = level.induce(first.rows(), False)
     first.free()
     out = level.induce(l_type.rows(), True)
     l_type.free()
+    disk.drop(kinds)
     out.append(np.zeros((1, 3), I64))
     rows = out.rows()
     # an entry's common prefix is with the one above it, which becomes the one after it
@@ -417,6 +432,7 @@ class Level:
             else:
                 self._range(slot, a, b, high)
         self.queue.free()
+        self.second = None
         return self.out
 
     def _below(self, key: int) -> int:
