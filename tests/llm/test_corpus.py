@@ -118,6 +118,27 @@ def test_near_duplicates_against_every_pair(make):
     assert kept.columns == make(rows).columns
 
 
+def test_long_lists_are_split_without_a_loss(spark):
+    """Documents that share many values but lie in components of their own."""
+    r = random.Random(9)
+    least, threshold = 0.3, 0.5
+    sketches = []
+    for i in range(60):
+        base = range(i % 3 * 100, i % 3 * 100 + 14)
+        sketches.append((i, sorted({*base[: r.randint(4, 14)], *r.sample(range(1000, 1040), r.randint(2, 8))})))
+    node = lambda i: (i, 0)
+    cand = spark.createDataFrame([(node(i), len(s), s) for i, s in sketches], f"node {minhash.NODE}, size int, sketch array<long>")
+    rows = [(v, node(i), len(s), node(i % 50)) for i, s in sketches for v in s]
+    lists = spark.createDataFrame(rows, f"v long, node {minhash.NODE}, n int, c {minhash.NODE}")
+    got = {(x["a"]["i"], x["b"]["i"]) for x in minhash.crossing(lists, cand, threshold, least, long=3).collect()}
+    for (i, s), (j, t) in itertools.combinations(sketches, 2):
+        both = len({*s} & {*t})
+        if i % 50 != j % 50 and both >= least * len({*s, *t}) and min(len(s), len(t)) >= threshold * max(len(s), len(t)):
+            assert (i, j) in got
+    every = sum(1 for (i, s), (j, t) in itertools.combinations(sketches, 2) if i % 50 != j % 50 and {*s} & {*t})
+    assert len(got) < every
+
+
 def test_near_duplicates_of_awkward_rows(make, awkward):
     kept = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in minhash.drop_near(make(awkward)).collect())
     gone = {"7", "8"}  # copies of 6; case doesn't count
