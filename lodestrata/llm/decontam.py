@@ -6,31 +6,44 @@ maps a window to a bit string whose Hamming distance grows with the edit
 distance; bit samples of it are hashed in several tables, each with its own
 walk, and pairs that meet in a table are verified by exact edit distance.
 
-Only windows that can match are embedded: by the pigeonhole principle a match
-leaves one of distance + 1 equal parts of the item intact, so it holds a run of
-floor(n / (distance + 1)) of the item's words; windows are set around such runs
-at every start that the distance allows. That loses nothing.
-
-Defined results: rows with null doc_id or text give nothing, and so do items
-without words or with a null id. Repeated rows and items give one row. Other
-columns aren't read.
+The number of tables follows from a target recall. For each length of items,
+windows at the largest distance that counts are made up and embedded; the share
+of bits in which they agree gives the chance that a sample meets, and walks are
+added until the target is met for those. Samples have so many bits that a window
+meets about one item of its length by chance.
+
+Embedding every window of every length costs hundreds of steps for each word of
+the corpus, so windows that can't match aren't embedded: by the pigeonhole
+principle a match leaves one of distance + 1 equal parts of the item intact, so
+it holds a run of floor(n / (distance + 1)) of the item's words; windows are set
+around such runs at every start that the distance allows. That loses nothing.
+
+The benchmark is sent to the executors in slices of at most SLICE bytes, each
+one pass over the documents.
+
+Defined results: rows with null doc_id or text give nothing and are kept by
+decontaminate; so give items without words or with a null id. Repeated rows and
+items give one row. An empty table of documents or items gives no rows. Other
+columns, of any name, are carried along by decontaminate and aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.columns import fresh, quoted
 from lodestrata.llm.text import U, chunks, mix, word_hash, words
 
-RATE, WALKS, TABLES, BITS = 0.2, 6, 4, 8
-#: Items whose index is sent to the executors at once; more take more passes.
-ITEMS_PER_PASS = 20_000
+RATE, RECALL = 0.2, 0.95
+#: Bit samples of each walk; walks at most, and pairs that are made up for each length.
+TABLES, WALKS, PAIRS = 4, 64, 48
+#: Bytes of the index that are sent to the executors at once.
+SLICE = 32 << 20
 OUT = "doc_id long, item_id long, first_word int, end_word int, distance int"
 ITEM = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("distance", pa.int32())])
 PAD = U(0x9D5C0FFEE)
@@ -64,85 +77,132 @@ def cgk(windows: np.ndarray, walk: int, steps: int) -> np.ndarray:
     return bits
 
 
+def altered(n: int, edits: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Two padded rows of n words, the second with so many random edits."""
+    new = lambda k: r.integers(1, 1 << 62, k, dtype=np.int64).astype(U)
+    a = new(n)
+    b = list(a)
+    for _ in range(edits):
+        p, kind = int(r.integers(0, max(1, len(b)))), int(r.integers(0, 3))
+        b[p : p + (kind < 2)] = list(new(int(kind > 0)))
+    row = np.full(n, PAD)
+    row[: min(n, len(b))] = b[:n]
+    return a, row
+
+
+def plan(n: int, edits: int, items: int, recall: float) -> tuple[int, int]:
+    """Walks and bits of a sample that reach the recall for windows of n words at
+    so many edits, where items have this length."""
+    if not edits:
+        return 1, min(2 * n, 40)
+    r = np.random.default_rng(n * 1009 + edits)
+    a, b = map(np.stack, zip(*(altered(n, edits, r) for _ in range(PAIRS))))
+    agree, missed = [], None
+    for walks in range(1, WALKS + 1):
+        agree.append((cgk(a, walks - 1, 2 * n) == cgk(b, walks - 1, 2 * n)).mean(axis=1))
+        bits = int(min(2 * n, max(6, np.ceil(np.log2(walks * TABLES * items)))))
+        missed = np.prod([(1 - q**bits) ** TABLES for q in agree], axis=0)
+        if 1 - missed.mean() >= recall:
+            break
+    return walks, bits
+
+
 class Index:
-    """Items by length: their seeds of intact words and their LSH tables."""
+    """Items by length: their seeds of intact words and their LSH tables, as
+    arrays sorted by key."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, walks: int, tables: int, bits: int):
-        self.rate, self.walks, self.tables, self.bits = rate, walks, tables, bits
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float = RATE, recall: float = RECALL):
+        self.rate = rate
         self.items = [(i, h) for i, h in items if len(h)]
-        self.by_len: dict[int, list[int]] = {}
-        for x, (_, h) in enumerate(self.items):
-            self.by_len.setdefault(len(h), []).append(x)
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        by_len: dict[int, list[int]] = {}
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
         for x, (_, h) in enumerate(self.items):
+            by_len.setdefault(len(h), []).append(x)
             d = self.most(len(h))
             q = len(h) // (d + 1)
-            for p in range(d + 1):  # the parts start where they start in the item
-                key = int(gram(h[p * q : p * q + q]))
-                seeds.setdefault(q, {}).setdefault(key, []).append((x, p * q))
-        self.seeds = {q: (np.sort(np.array(list(by), U)), by) for q, by in seeds.items()}
-        self.lsh = {n: self.table(np.stack([self.items[x][1] for x in xs]), n, xs) for n, xs in self.by_len.items()}
+            seeds.setdefault(q, []).extend((int(gram(h[p * q : p * q + q])), x, p * q) for p in range(d + 1))  # the parts start where they start in the item
+        self.seeds = {}
+        for q, rows in seeds.items():
+            key = np.array([k for k, _, _ in rows], U)
+            order = np.argsort(key)
+            self.seeds[q] = key[order], np.array([x for _, x, _ in rows], np.int32)[order], np.array([o for _, _, o in rows], np.int32)[order]
+        self.plans = {n: plan(n, self.most(n), len(xs), recall) for n, xs in by_len.items()}
+        self.lsh: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
+        for n, xs in by_len.items():
+            rows, own = np.stack([self.items[x][1] for x in xs]), np.array(xs, np.int32)
+            self.lsh[n] = []
+            for walk in range(self.plans[n][0]):
+                keys = self.keys(rows, n, walk)
+                orders = [np.argsort(k) for k in keys]
+                self.lsh[n].append([(k[o], own[o]) for k, o in zip(keys, orders)])
 
     def most(self, n: int) -> int:
         return int(self.rate * n)
 
     def keys(self, rows: np.ndarray, n: int, walk: int) -> list[np.ndarray]:
-        bits = cgk(rows, walk, 3 * n)
+        bits = cgk(rows, walk, 2 * n)
         rng = np.random.default_rng(walk * 7919 + n)
-        return [np.packbits(bits[:, rng.choice(2 * n, min(self.bits, 2 * n), replace=False)], axis=1).tobytes() for _ in range(self.tables)]
-
-    def table(self, rows: np.ndarray, n: int, xs: list[int]) -> list[list[dict[bytes, list[int]]]]:
-        out = []
-        for walk in range(self.walks):
-            per = []
-            for raw in self.keys(rows, n, walk):
-                width, t = len(raw) // len(rows), {}
-                for r, x in enumerate(xs):
-                    t.setdefault(raw[r * width : r * width + width], []).append(x)
-                per.append(t)
-            out.append(per)
-        return out
-
-    def windows(self, h: np.ndarray) -> dict[int, set[int]]:
+        size = self.plans[n][1]
+        power = U(1) << np.arange(size, dtype=U)
+        return [(bits[:, rng.choice(2 * n, size, replace=False)] * power).sum(axis=1, dtype=U) for _ in range(TABLES)]
+
+    def windows(self, h: np.ndarray) -> dict[int, np.ndarray]:
         """Starts, by item length, around each intact part of an item."""
-        out: dict[int, set[int]] = {}
-        for q, (keys, by) in self.seeds.items():
+        out: dict[int, list[np.ndarray]] = {}
+        lens = np.array([len(w) for _, w in self.items])
+        for q, (key, item, off) in self.seeds.items():
             if len(h) < q:
                 continue
             g = grams(h, q)
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            for p in np.flatnonzero(keys[at] == g):
-                for x, off in by[int(g[p])]:
-                    n = len(self.items[x][1])
-                    d = self.most(n)
-                    out.setdefault(n, set()).update(range(max(0, p - off - d), max(0, min(len(h) - 1, p - off + d)) + 1))
-        return out
+            lo, hi = np.searchsorted(key, g), np.searchsorted(key, g, "right")
+            hit = np.flatnonzero(hi > lo)
+            if not len(hit):
+                continue
+            many = (hi - lo)[hit]
+            p = np.repeat(hit, many)
+            row = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start, n = p - off[row], lens[item[row]]
+            for size in np.unique(n).tolist():
+                d = self.most(size)
+                at = (np.unique(start[n == size])[:, None] + np.arange(-d, d + 1)).ravel()
+                out.setdefault(size, []).append(np.clip(at, 0, len(h) - 1))
+        return {n: np.unique(np.concatenate(parts)) for n, parts in out.items()}
 
     def search(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """doc index, item_id, first word, end and distance of the best place of
         each item in each document. Windows of all documents are embedded together."""
-        where: dict[int, list[tuple[int, int]]] = {}
+        where: dict[int, list[tuple[int, np.ndarray]]] = {}
         for x, h in enumerate(docs):
             for n, starts in self.windows(h).items():
-                where.setdefault(n, []).extend((x, s) for s in sorted(starts))
-        near: dict[tuple[int, int], set[int]] = {}
-        for n, spots in where.items():
-            rows = np.full((len(spots), n), PAD)
-            for r, (x, s) in enumerate(spots):
-                part = docs[x][s : s + n]
-                rows[r, : len(part)] = part
-            for walk in range(self.walks):
-                for raw, t in zip(self.keys(rows, n, walk), self.lsh[n][walk]):
-                    width = len(raw) // len(rows)
-                    for r, (x, s) in enumerate(spots):
-                        for item in t.get(raw[r * width : r * width + width], ()):
-                            near.setdefault((x, item), set()).add(s)
+                where.setdefault(n, []).append((x, starts))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (x, item), starts in near.items():
-            i, words = self.items[item]
-            got = nearest(words, docs[x], np.array(sorted(starts)), self.most(len(words)))
-            if got and ((x, i) not in best or got < best[x, i]):
-                best[x, i] = got
+        for n, spots in where.items():
+            doc = np.repeat([x for x, _ in spots], [len(s) for _, s in spots])
+            start = np.concatenate([s for _, s in spots])
+            rows = np.full((len(start), n), PAD)
+            at = 0
+            for x, s in spots:
+                padded = np.concatenate([docs[x], np.full(n, PAD)])
+                rows[at : at + len(s)] = padded[s[:, None] + np.arange(n)]
+                at += len(s)
+            met: list[np.ndarray] = []
+            for walk, tables in enumerate(self.lsh[n]):
+                for own, (key, item) in zip(self.keys(rows, n, walk), tables):
+                    lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+                    many = hi - lo
+                    r = np.repeat(np.arange(len(own)), many)
+                    found = item[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                    met.append(np.unique(found.astype(np.int64) << 32 | r))
+            pairs = np.unique(np.concatenate(met))
+            item, r = pairs >> 32, pairs & 0xFFFFFFFF
+            order = np.lexsort((start[r], doc[r], item))
+            item, r = item[order], r[order]
+            edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[r][1:] != doc[r][:-1])])) if len(r) else np.zeros(0, np.int64)
+            for a, b in zip(edge, np.append(edge[1:], len(r))):
+                x, (i, words) = int(doc[r[a]]), self.items[item[a]]
+                got = nearest(words, docs[x], start[r[a:b]], self.most(n))
+                if got and ((x, i) not in best or got < best[x, i]):
+                    best[x, i] = got
         return [(x, i, s, e, d) for (x, i), (d, s, e) in sorted(best.items())]
 
 
@@ -199,7 +259,7 @@ def _scan(shared):
                 w = words(part.column("text"))
                 ids = part.column("doc_id").to_pylist()
                 hit = np.zeros(len(w.hash), bool)
-                for q, (keys, _) in index.seeds.items():
+                for q, (keys, _, _) in index.seeds.items():
                     if len(w.hash) >= q:
                         g = grams(w.hash, q)
                         at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
@@ -213,22 +273,36 @@ def _scan(shared):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def sliced(items: Iterator, limit: int) -> Iterator[list]:
+    """Items in slices whose index takes about `limit` bytes at most."""
+    held, size = [], 0
+    for r in items:
+        own = word_hash(r.text)
+        took = 8 * len(own) + 20 * (int(RATE * len(own)) + 1) + 12 * WALKS * TABLES
+        if held and size + took > limit:
+            yield held
+            held, size = [], 0
+        held.append((r.i, own))
+        size += took
+    if held:
+        yield held
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, limit: int = SLICE) -> DataFrame:
     """doc_id, item_id, first_word, end_word, distance: the best place of each
     item in each document, at the least (distance, start, end)."""
     spark: SparkSession = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), "text").distinct()
     found = spark.createDataFrame([], OUT)
-    # The benchmark comes in slices of bounded size; each slice is one pass over the documents.
-    for rows in batched(items.toLocalIterator(), items_per_pass):
-        index = Index([(r.i, word_hash(r.text)) for r in rows], rate, walks, tables, bits)
-        found = found.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), OUT))
+    for rows in sliced(items.toLocalIterator(), limit):
+        found = found.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(Index(rows, rate, recall))), OUT))
     best = F.min(F.struct("distance", "first_word", "end_word")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.first_word").alias("first_word"), F.col("b.end_word").alias("end_word"), F.col("b.distance").alias("distance"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the documents that hold an item; rows with a null doc_id stay."""
-    hit = leaks(docs, benchmark, **kw).select(F.col("doc_id").alias("_dc_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_dc_id"), "left_anti")
+    name = fresh(docs, "_dc_id")
+    hit = leaks(docs, benchmark, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, F.col("doc_id").cast("long")).join(hit, name, "left_anti").select(*map(quoted, docs.columns))

@@ -9,14 +9,11 @@ position in the corpus, in the order (doc_id, content hash, line); the match is
 extended both ways over equal lines, and the later run is deleted. A line of
 `alone` words or more is a run of its own, wherever it stands.
 
-The SQL still takes the minimum of every two hashes and no single lines, so it
-leaves repeats that are deleted here.
-
 Defined results: a document is a pair of doc_id and text. Repeated rows are one
 document and get the same edits. Rows with a null doc_id or text, and empty
-texts, are kept as they are. A document that loses every line goes. Columns
-besides doc_id and text are carried along under any name, but for names that
-begin with "_ld_".
+texts, are kept as they are. A document that loses every line goes. An empty
+table gives no rows. Columns besides doc_id and text are carried along under any
+name.
 """
 
 from __future__ import annotations
@@ -26,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import cut
+from lodestrata.llm.columns import fresh, quoted
+from lodestrata.runtime import cut, maybe_broadcast
 
 K, W = 2, 1
 #: Words of a line that is a run by itself.
@@ -125,8 +123,10 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W, alone: int = ALONE) -
     places = scanned.select("_ld_id", "_ld_h", F.explode("fps").alias("f")).select(
         F.struct(F.col("_ld_id").alias("i"), F.col("_ld_h").alias("h"), F.col("f.pos").alias("p")).alias("at"), F.col("f.fp").alias("fp"), F.col("f.n").alias("n")
     )
+    # minima that combine before they are shuffled, then a join that can be split where a fingerprint is hot
+    firsts = places.groupBy("fp", "n").agg(F.min("at").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
     matched = (
-        places.withColumn("first", F.min("at").over(Window.partitionBy("fp", "n")))
+        places.join(maybe_broadcast(firsts, 48), ["fp", "n"])
         .where("at != first")
         .groupBy(F.col("at.i").alias("_ld_id"), F.col("at.h").alias("_ld_h"), F.col("first.i").alias("src_id"), F.col("first.h").alias("src_h"), (F.col("first.p") - F.col("at.p")).alias("shift"))
         .agg(F.collect_set(F.struct("at.p", "n")).alias("at"))
@@ -173,17 +173,17 @@ def dedup_lines(docs: DataFrame, k: int = K, w: int = W, min_run: int = K, count
         pairs = [(None, 0) if rs is None else strike(t, [(r["lo"], r["hi"]) for r in rs]) for t, rs in zip(text, runs)]
         return pd.DataFrame({"text": [p[0] for p in pairs], "gone": [p[1] for p in pairs]})
 
-    names = docs.columns
-    keyed = docs.withColumns({"_ld_id": F.col("doc_id").cast("long"), "_ld_h": F.xxhash64("text")})
-    joined = keyed.join(runs, ["_ld_id", "_ld_h"], "left")
-    edited = joined.withColumn("_ld_new", edit(F.when(F.col("_ld_runs").isNotNull(), F.col("text")), F.col("_ld_runs")))
-    text = F.when(F.col("_ld_runs").isNotNull(), F.col("_ld_new.text")).otherwise(F.col("text"))
-    kept = edited.where(F.col("_ld_runs").isNull() | (F.length(F.translate(text, " \t\r\n", "")) > 0))
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    return kept.select(*out, *([F.coalesce("_ld_new.gone", F.lit(0)).alias(count_as)] if count_as else []))
+    i, h, at, new = (fresh(docs, c) for c in ("_ld_id", "_ld_h", "_ld_runs", "_ld_new"))
+    runs = runs.toDF(i, h, at)
+    joined = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")}).join(runs, [i, h], "left")
+    edited = joined.withColumn(new, edit(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at)))
+    text = F.when(F.col(at).isNotNull(), F.col(new)["text"]).otherwise(F.col("text"))
+    kept = edited.where(F.col(at).isNull() | (F.length(F.translate(text, " \t\r\n", "")) > 0))
+    out = [text.alias("text") if c == "text" else quoted(c) for c in docs.columns]
+    return kept.select(*out, *([F.coalesce(F.col(new)["gone"], F.lit(0)).alias(count_as)] if count_as else []))
 
 
-ORACLE = """
+ORACLE = r"""
 with recursive texts as (select distinct doc_id, text from documents where doc_id is not null and text is not null),
 src as (select doc_id, string_split(text, chr(10)) as ls from texts),
 raw as (select doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as line from src),
@@ -192,16 +192,16 @@ lines as (select doc_id, i, line, md5(trim(line, ' ' || chr(9) || chr(13))) as h
           where trim(line, ' ' || chr(9) || chr(13)) <> ''),
 grams as (select doc_id, pos, substr(md5(h || lead(h) over (partition by doc_id order by pos)), 1, 15) as g
           from lines qualify lead(h) over (partition by doc_id order by pos) is not null),
-counted as (select *, lead(g) over (partition by doc_id order by pos) as nxt, lag(g) over (partition by doc_id order by pos) as prv from grams),
-fps as (select doc_id, pos, g from counted where (nxt is null and prv is null) or (nxt is not null and g < nxt) or (prv is not null and g <= prv)),
 firsts as (select *, first_value(doc_id) over (partition by g order by doc_id, pos) as src_id,
-           first_value(pos) over (partition by g order by doc_id, pos) as src_pos from fps),
+           first_value(pos) over (partition by g order by doc_id, pos) as src_pos from grams),
 pairs as (select doc_id, pos, src_id, src_pos - pos as shift from firsts where doc_id <> src_id or pos <> src_pos),
 diag as (select distinct doc_id, src_id, shift from pairs),
 same as (select d.doc_id, d.src_id, d.shift, b.pos, b.pos - row_number() over (partition by d.doc_id, d.src_id, d.shift order by b.pos) as island
          from diag d join lines b on b.doc_id = d.doc_id join lines a on a.doc_id = d.src_id and a.pos = b.pos + d.shift and substr(a.h, 1, 15) = substr(b.h, 1, 15)),
 hit as (select distinct s.doc_id, s.src_id, s.shift, s.island from same s join pairs p on s.doc_id = p.doc_id and s.src_id = p.src_id and s.shift = p.shift and s.pos = p.pos),
-gone as (select distinct s.doc_id, s.pos from same s join hit using (doc_id, src_id, shift, island)),
+alone as (select doc_id, pos from lines where len([x for x in regexp_split_to_array(line, '\s+') if x <> '']) >= %(alone)s
+          qualify row_number() over (partition by h order by doc_id, pos) > 1),
+gone as (select distinct s.doc_id, s.pos from same s join hit using (doc_id, src_id, shift, island) union select doc_id, pos from alone),
 numbered as (select r.doc_id, r.i, r.line, g.pos is not null as dead from raw r left join lines l on l.doc_id = r.doc_id and l.i = r.i
              left join gone g on g.doc_id = l.doc_id and g.pos = l.pos),
 done as (select doc_id, string_agg(line, chr(10) order by i) filter (where not dead) as text, count(*) filter (where dead) as lines_removed from numbered group by doc_id)

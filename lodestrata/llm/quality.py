@@ -10,12 +10,12 @@ memory that they look up, so neither the driver nor a task ever holds the model,
 whatever its size. Where that folder isn't a path (an object store), texts are
 joined to the model instead; both give the same rows.
 
-Each language gets a band of log perplexity per byte. The mean over n bytes
-spreads as 1 / sqrt(n), so a text's distance from the language's median is
-multiplied by sqrt(n); from the quartiles of that over all of its documents a
-text of n bytes may lie in median + [q1 - width * iqr, q3 + width * iqr] / sqrt(n),
-and slack beyond. Texts outside are rejected, with the reason "low" (degenerate
-repetition, boilerplate) or "high" (junk).
+Each language gets a band of log perplexity per byte around its median. The mean
+over n bytes spreads as b / n, and documents differ by a besides, however long
+they are; a and b follow from the distance of the quartiles among the shorter and
+among the longer half of the language's documents. A text of n bytes may lie in
+median +- width * sqrt(a + b / n). Texts outside are rejected, with the reason
+"low" (degenerate repetition, boilerplate) or "high" (junk).
 
 Defined results: a null lang counts as "und". Null and empty texts have a null
 perplexity and aren't rejected. Rows with a null doc_id are scored and judged as
@@ -45,8 +45,8 @@ from lodestrata.llm.text import U, chunks, mix, raw
 from lodestrata.runtime import checkpoint_dir, cut
 
 ORDER = 5
-WIDTH, SLACK = 2.0, 0.01
-BINS = 1000  # medians are exact to 1 / BINS, quartiles to sixteen times that
+WIDTH = 2.25
+BINS = 1000  # quantiles are exact to 1 / BINS
 #: N-grams of a file of the model.
 PER_FILE = 2_000_000
 #: Distinct n-grams that a task holds before it passes them on.
@@ -291,30 +291,35 @@ def score(docs: DataFrame, per_file: int = PER_FILE, files: bool = True) -> Data
     return out
 
 
-def _quantiles(values: DataFrame, bins: int, **at: float) -> DataFrame:
-    """lang and quantiles of the binned column x."""
-    counted = values.groupBy("lang", F.floor(F.col("x") * bins).alias("bin")).agg(F.count("*").alias("k"))
-    order = Window.partitionBy("lang").orderBy("bin")
-    upto = counted.withColumns({"upto": F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(Window.partitionBy("lang"))})
-    return upto.groupBy("lang").agg(*(((F.min(F.when(F.col("upto") >= f * F.col("all"), F.col("bin"))) + 0.5) / bins).alias(name) for name, f in at.items()))
+def _quantiles(values: DataFrame, by: list[str], column: str, **at: float) -> DataFrame:
+    """Quantiles of a column, from counts of its bins."""
+    counted = values.groupBy(*by, F.floor(F.col(column) * BINS).alias("bin")).agg(F.count("*").alias("k"))
+    upto = counted.withColumns({"upto": F.sum("k").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(Window.partitionBy(*by))})
+    return upto.groupBy(*by).agg(*(((F.min(F.when(F.col("upto") >= f * F.col("all"), F.col("bin"))) + 0.5) / BINS).alias(name) for name, f in at.items()))
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
-    """lang, med, below, above: a text of n bytes may lie in
-    [med - below / sqrt(n), med + above / sqrt(n)]."""
-    med = _quantiles(scored.select("lang", F.col("logppl").alias("x")), BINS, med=0.5)
-    off = scored.join(F.broadcast(med), "lang").select("lang", ((F.col("logppl") - F.col("med")) * F.sqrt(F.col("n").cast("double"))).alias("x"))
-    iqr = F.col("q3") - F.col("q1") + 16 / BINS
-    return med.join(_quantiles(off, BINS // 16, q1=0.25, q3=0.75), "lang").select("lang", "med", (width * iqr - F.col("q1")).alias("below"), (F.col("q3") + width * iqr).alias("above"))
+def bands(scored: DataFrame) -> DataFrame:
+    """lang, med, a, b: the median, and the squared distance of the quartiles of
+    texts of n bytes, a + b / n."""
+    own = scored.select("lang", F.col("logppl").alias("x"), F.log(F.col("n").cast("double")).alias("y"))
+    mid = _quantiles(own, ["lang"], "x", med=0.5).join(_quantiles(own, ["lang"], "y", mid=0.5), "lang")
+    halves = own.join(mid, "lang").withColumn("long", F.col("y") >= F.col("mid"))
+    each = _quantiles(halves, ["lang", "long"], "x", q1=0.25, q3=0.75).join(_quantiles(halves, ["lang", "long"], "y", y=0.5), ["lang", "long"])
+    square, part = F.pow(F.col("q3") - F.col("q1") + 1 / BINS, F.lit(2)), F.exp(-F.col("y"))
+    two = each.groupBy("lang").agg(*(F.max(F.when(F.col("long") == long, v)).alias(n) for long, i in ((True, "l"), (False, "s")) for n, v in ((f"v{i}", square), (f"m{i}", part))))
+    slope = F.when(F.col("ms") > F.col("ml"), F.greatest(F.lit(0.0), (F.col("vs") - F.col("vl")) / (F.col("ms") - F.col("ml"))))
+    two = two.withColumn("b", F.coalesce(slope, F.lit(0.0)))
+    a = F.greatest(F.lit(0.0), F.coalesce("vl", "vs") - F.col("b") * F.coalesce("ml", F.lit(0.0)))
+    return mid.select("lang", "med").join(two.select("lang", a.alias("a"), "b"), "lang")
 
 
-def judge(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, **kw) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH, **kw) -> DataFrame:
     """_q_row, lang, n, logppl, lo, hi, reason (null, "low" or "high"); a row each time a text occurs."""
     scored = score(docs, **kw)
-    root = F.sqrt(F.col("n").cast("double"))
-    lo, hi = F.col("med") - F.col("below") / root - slack, F.col("med") + F.col("above") / root + slack
+    half = width * F.sqrt(F.col("a") + F.col("b") / F.col("n"))
     reason = F.when(F.col("logppl") < F.col("lo"), "low").when(F.col("logppl") > F.col("hi"), "high")
-    return scored.join(bands(scored, width), "lang").withColumns({"lo": lo, "hi": hi}).drop("med", "below", "above").withColumn("reason", reason)
+    at = scored.join(bands(scored), "lang").withColumns({"lo": F.col("med") - half, "hi": F.col("med") + half})
+    return at.drop("med", "a", "b").withColumn("reason", reason)
 
 
 def _row() -> Column:

@@ -70,6 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash": minhash.ORACLE % {"word": WORD_RE, "threshold": minhash.THRESHOLD, "last": minhash.WIDTH - 1},
-    "op7_line_dedup": line_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE % {"alone": line_dedup.ALONE},
     "op8_suffix_dedup": suffix_dedup.ORACLE % {"word": WORD_RE, "least": suffix_dedup.LEAST},
 }

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestrata.llm import line_dedup, minhash, packing, quality, sharding
@@ -127,10 +128,11 @@ def test_long_lists_are_split_without_a_loss(spark):
         base = range(i % 3 * 100, i % 3 * 100 + 14)
         sketches.append((i, sorted({*base[: r.randint(4, 14)], *r.sample(range(1000, 1040), r.randint(2, 8))})))
     node = lambda i: (i, 0)
-    cand = spark.createDataFrame([(node(i), len(s), s) for i, s in sketches], f"node {minhash.NODE}, size int, sketch array<long>")
+    need = lambda s: int(np.ceil(least * len(s)))
+    cand = spark.createDataFrame([(node(i), len(s), need(s), s) for i, s in sketches], f"node {minhash.NODE}, size int, need int, sketch array<long>")
     rows = [(v, node(i), len(s), node(i % 50)) for i, s in sketches for v in s]
     lists = spark.createDataFrame(rows, f"v long, node {minhash.NODE}, n int, c {minhash.NODE}")
-    got = {(x["a"]["i"], x["b"]["i"]) for x in minhash.crossing(lists, cand, threshold, least, long=3).collect()}
+    got = {(x["a"]["i"], x["b"]["i"]) for x in minhash.crossing(lists, cand, threshold, long=3).collect()}
     for (i, s), (j, t) in itertools.combinations(sketches, 2):
         both = len({*s} & {*t})
         if i % 50 != j % 50 and both >= least * len({*s, *t}) and min(len(s), len(t)) >= threshold * max(len(s), len(t)):
@@ -231,7 +233,7 @@ def test_perplexity_against_the_definition(make, way):
 def test_copies_count_alike_with_the_model_in_files_or_joined(make):
     one = [(k, " ".join(words(700 + k, 5 + 3 * k)), "en") for k in range(30)]
     docs = make([*one, *((100 + k, one[0][1], "en") for k in range(200))])
-    judged = [sorted((r["_q_row"], r["reason"] or "", round(r["lo"], 6), round(r["hi"], 6)) for r in quality.judge(docs, 0.5, 0.0, **way).collect()) for way in WAYS]
+    judged = [sorted((r["_q_row"], r["reason"] or "", round(r["lo"], 6), round(r["hi"], 6)) for r in quality.judge(docs, 0.5, **way).collect()) for way in WAYS]
     assert len(judged[0]) == 230 and judged[0] == judged[1] == judged[2] and {x[1] for x in judged[0]} > {""}
     assert quality.report(docs).count() == 230
 
@@ -240,11 +242,11 @@ def test_bands_against_numpy(make):
     docs = make([(k, " ".join(words(k, 3 + k % 50)), "en" if k % 3 else "de") for k in range(300)])
     for r in quality.bands(scored := quality.score(docs)).collect():
         x, n = np.array([(s["logppl"], s["n"]) for s in scored.where(f"lang = '{r['lang']}'").collect()]).T
-        q = lambda v, f, bins: (np.sort(np.floor(v * bins))[int(np.ceil(f * len(v))) - 1] + 0.5) / bins
-        med = q(x, 0.5, quality.BINS)
-        off, bins = (x - med) * np.sqrt(n), quality.BINS // 16
-        iqr = q(off, 0.75, bins) - q(off, 0.25, bins) + 16 / quality.BINS
-        assert (r["med"], r["below"], r["above"]) == pytest.approx((med, 2 * iqr - q(off, 0.25, bins), q(off, 0.75, bins) + 2 * iqr))
+        q = lambda v, f: (np.sort(np.floor(v * quality.BINS))[int(np.ceil(f * len(v))) - 1] + 0.5) / quality.BINS
+        long = np.log(n) >= q(np.log(n), 0.5)
+        (vs, ms), (vl, ml) = (((q(x[h], 0.75) - q(x[h], 0.25) + 1 / quality.BINS) ** 2, np.exp(-q(np.log(n[h]), 0.5))) for h in (~long, long))
+        b = max(0, (vs - vl) / (ms - ml))
+        assert (r["med"], r["a"], r["b"]) == pytest.approx((q(x, 0.5), max(0, vl - b * ml), b))
 
 
 def test_quality_keeps_awkward_rows_but_junk(make, awkward):
@@ -258,6 +260,21 @@ def test_quality_keeps_awkward_rows_but_junk(make, awkward):
     assert quality.report(make(awkward)).count() == len(awkward)
 
 
+def test_names_that_clash_with_those_used_inside(spark, make, tmp_path):
+    names = ["_q_row", "_nd_i", "_nd_h", "_nd_salt", "_dc_id", "_ld_id", "_LD_H", "_ld_runs", "_ld_new", "a.b", "c`d", "i", "h", "node", "seed"]
+    spark.createDataFrame([(1, " ".join(words(50, 30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make(near_rows()).select("doc_id", "text", "lang")
+    plain = docs
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert all(list(r)[3:] == [*range(len(names))] for r in rows)
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(spark, plain, str(tmp_path)).collect()), name
+
+
 def test_pipeline_stages(spark, make, awkward, tmp_path):
     bench = spark.createDataFrame([(1, " ".join(words(50, 30)))], "item_id long, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")

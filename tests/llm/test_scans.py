@@ -6,6 +6,7 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pytest
 import zstandard
 
 from lodestrata.llm import decontam, licenses, secrets
@@ -144,20 +145,36 @@ def leaks_by_force(docs, items, rate=0.2):
     return out
 
 
-def test_decontamination_recall():
-    r = np.random.default_rng(3)
+@pytest.mark.parametrize(("low", "high", "most"), [(5, 12, 1.0), (20, 40, 1.0), (60, 90, 1.0), (20, 40, 0.0)])
+def test_decontamination_reaches_its_target(low, high, most):
+    """Items with edits up to the largest distance, against every window."""
+    r = np.random.default_rng(low)
     new = lambda n: r.integers(1, 1 << 60, n, dtype=np.int64).astype(U)
-    items = [(k, new(int(r.integers(20, 40)))) for k in range(8)]
+    items = [(k, new(int(r.integers(low, high)))) for k in range(10)]
     docs = []
-    for k in range(24):
-        it = list(items[k % 8][1])
-        for _ in range(int(r.integers(0, int(0.2 * len(it)) + 1))):
-            p = int(r.integers(0, len(it)))
-            it[p : p + int(r.integers(0, 2))] = list(new(int(r.integers(0, 2))))
+    for k in range(60):
+        it = list(items[k % 10][1])
+        for _ in range(int(most * 0.2 * len(it))):
+            p, kind = int(r.integers(0, max(1, len(it)))), int(r.integers(0, 3))
+            it[p : p + (kind < 2)] = list(new(int(kind > 0)))
         docs.append(np.concatenate([new(10), np.array(it, U), new(8)]))
-    got = {(x, i): (d, s, e) for x, i, s, e, d in decontam.Index(items, 0.2, decontam.WALKS, decontam.TABLES, decontam.BITS).search(docs)}
-    want = leaks_by_force(list(enumerate(docs)), items)
-    assert len(want) >= 20 and len(got.keys() & want.keys()) >= 0.95 * len(want) and got.keys() <= want.keys()
+    index = decontam.Index(items)
+    got = {(x, i) for x, i, *_ in index.search(docs)}
+    want = set()
+    for x, h in enumerate(docs):
+        for k, it in items:
+            if decontam.nearest(it, h, np.arange(len(h)), index.most(len(it))):
+                want.add((x, k))
+    assert len(want) >= 50 and got <= want and len(got) >= decontam.RECALL * len(want), (len(got), len(want))
+
+
+def test_the_nearest_place_against_every_part():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        item, h = r.integers(0, 4, 6).astype(U), r.integers(0, 4, 14).astype(U)
+        want = leaks_by_force([(0, h)], [(0, item)], 0.34)
+        got = decontam.nearest(item, h, np.arange(len(h)), 2)
+        assert got == want.get((0, 0))
 
 
 def test_decontamination_rows(make, awkward, spark):
@@ -166,6 +183,8 @@ def test_decontamination_rows(make, awkward, spark):
     rows = [*awkward, (40, f"{' '.join(words(51, 20))} {item.upper()} end", "en"), (41, " ".join(words(52, 60)), "en")]
     got = decontam.leaks(make(rows), bench).collect()
     assert [(r["doc_id"], r["item_id"], r["first_word"], r["end_word"], r["distance"]) for r in got] == [(40, 1, 20, 50, 0)]
+    two = spark.createDataFrame([(1, item), (5, " ".join(words(53, 12)))], "item_id long, text string")
+    assert len(decontam.leaks(make([*rows, (42, " ".join(words(53, 12)), "en")]), two, limit=1).collect()) == 2  # a slice for each item
     kept = decontam.decontaminate(make(rows), bench)
     assert kept.columns == make(rows).columns and kept.count() == len(rows) - 1
     assert decontam.leaks(make(rows).limit(0), bench).count() == 0
