@@ -14,8 +14,12 @@ Each language gets a band of log perplexity per byte around its median. The mean
 over n bytes spreads as b / n, and documents differ by a besides, however long
 they are; a and b follow from the distance of the quartiles among the shorter and
 among the longer half of the language's documents. A text of n bytes may lie in
-median +- width * sqrt(a + b / n). Texts outside are rejected, with the reason
-"low" (degenerate repetition, boilerplate) or "high" (junk).
+median +- width * sqrt(a + b / n), and never has less room than the longer half
+itself spreads, as a isn't known beyond the lengths that are seen. The quartiles of
+that are taken at the outer ends of their confidence limits, three standard errors
+off, so that a handful of documents makes no narrow band. Texts outside are
+rejected, with the reason "low" (degenerate repetition, boilerplate) or "high"
+(junk).
 
 Defined results: a null lang counts as "und". Null and empty texts have a null
 perplexity and aren't rejected. Rows with a null doc_id are scored and judged as
@@ -291,7 +295,7 @@ def score(docs: DataFrame, per_file: int = PER_FILE, files: bool = True) -> Data
     return out
 
 
-def _quantiles(values: DataFrame, by: list[str], column: str, **at: float) -> DataFrame:
+def _quantiles(values: DataFrame, by: list[str], column: str, **at: float | Column) -> DataFrame:
     """Quantiles of a column, from counts of its bins."""
     counted = values.groupBy(*by, F.floor(F.col(column) * BINS).alias("bin")).agg(F.count("*").alias("k"))
     upto = counted.withColumns({"upto": F.sum("k").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(Window.partitionBy(*by))})
@@ -299,27 +303,30 @@ def _quantiles(values: DataFrame, by: list[str], column: str, **at: float) -> Da
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """lang, med, a, b: the median, and the squared distance of the quartiles of
-    texts of n bytes, a + b / n."""
+    """lang, med, a, b, v: the median, the squared distance of the quartiles of
+    texts of n bytes, a + b / n, and the most that it may be in the longer half."""
     own = scored.select("lang", F.col("logppl").alias("x"), F.log(F.col("n").cast("double")).alias("y"))
     mid = _quantiles(own, ["lang"], "x", med=0.5).join(_quantiles(own, ["lang"], "y", mid=0.5), "lang")
     halves = own.join(mid, "lang").withColumn("long", F.col("y") >= F.col("mid"))
-    each = _quantiles(halves, ["lang", "long"], "x", q1=0.25, q3=0.75).join(_quantiles(halves, ["lang", "long"], "y", y=0.5), ["lang", "long"])
-    square, part = F.pow(F.col("q3") - F.col("q1") + 1 / BINS, F.lit(2)), F.exp(-F.col("y"))
-    two = each.groupBy("lang").agg(*(F.max(F.when(F.col("long") == long, v)).alias(n) for long, i in ((True, "l"), (False, "s")) for n, v in ((f"v{i}", square), (f"m{i}", part))))
+    err = F.sqrt(9 * 0.1875 / F.col("all"))
+    outer = {"o1": F.greatest(F.lit(0.0), 0.25 - err), "o3": F.least(F.lit(1.0), 0.75 + err)}
+    each = _quantiles(halves, ["lang", "long"], "x", q1=0.25, q3=0.75, **outer).join(_quantiles(halves, ["lang", "long"], "y", y=0.5), ["lang", "long"])
+    square = lambda lo, hi: F.pow(F.col(hi) - F.col(lo) + 1 / BINS, F.lit(2))
+    kinds = {"v": square("q1", "q3"), "o": square("o1", "o3"), "m": F.exp(-F.col("y"))}
+    two = each.groupBy("lang").agg(*(F.max(F.when(F.col("long") == long, v)).alias(n + i) for long, i in ((True, "l"), (False, "s")) for n, v in kinds.items()))
     slope = F.when(F.col("ms") > F.col("ml"), F.greatest(F.lit(0.0), (F.col("vs") - F.col("vl")) / (F.col("ms") - F.col("ml"))))
     two = two.withColumn("b", F.coalesce(slope, F.lit(0.0)))
     a = F.greatest(F.lit(0.0), F.coalesce("vl", "vs") - F.col("b") * F.coalesce("ml", F.lit(0.0)))
-    return mid.select("lang", "med").join(two.select("lang", a.alias("a"), "b"), "lang")
+    return mid.select("lang", "med").join(two.select("lang", a.alias("a"), "b", F.coalesce("ol", "os").alias("v")), "lang")
 
 
 def judge(docs: DataFrame, width: float = WIDTH, **kw) -> DataFrame:
     """_q_row, lang, n, logppl, lo, hi, reason (null, "low" or "high"); a row each time a text occurs."""
     scored = score(docs, **kw)
-    half = width * F.sqrt(F.col("a") + F.col("b") / F.col("n"))
+    half = width * F.sqrt(F.greatest(F.col("a") + F.col("b") / F.col("n"), "v"))
     reason = F.when(F.col("logppl") < F.col("lo"), "low").when(F.col("logppl") > F.col("hi"), "high")
     at = scored.join(bands(scored), "lang").withColumns({"lo": F.col("med") - half, "hi": F.col("med") + half})
-    return at.drop("med", "a", "b").withColumn("reason", reason)
+    return at.drop("med", "a", "b", "v").withColumn("reason", reason)
 
 
 def _row() -> Column:

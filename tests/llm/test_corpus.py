@@ -247,6 +247,8 @@ def test_bands_against_numpy(make):
         (vs, ms), (vl, ml) = (((q(x[h], 0.75) - q(x[h], 0.25) + 1 / quality.BINS) ** 2, np.exp(-q(np.log(n[h]), 0.5))) for h in (~long, long))
         b = max(0, (vs - vl) / (ms - ml))
         assert (r["med"], r["a"], r["b"]) == pytest.approx((q(x, 0.5), max(0, vl - b * ml), b))
+        err = 3 * np.sqrt(0.25 * 0.75 / long.sum())
+        assert r["v"] == pytest.approx((q(x[long], min(1, 0.75 + err)) - q(x[long], max(1e-9, 0.25 - err)) + 1 / quality.BINS) ** 2)
 
 
 def test_quality_keeps_awkward_rows_but_junk(make, awkward):
