@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import patterns as P
 from lodestrata.operators import community, components, context, diff, evaluate, extract, graph, history, incremental, observe, report, rules, symbols, vectors
+from lodestrata.runtime import maybe_broadcast
 from lodestrata.sources.projection import CTE, Relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,7 @@ cum90 as (select *, sum(lines) over (partition by file_id order by lines desc, a
 own90 as (select file_id, min(case when upto >= 0.5 * total then rn end) as bus_factor, floor(max(lines / total) * 1000 + 0.5) / 1000 as top_author_share from cum90 group by 1),
 pairs as (select a.file_id as file_a, b.file_id as file_b, count(*) as n from
   (select *, count(*) over (partition by commit_id) as k from touched) a join (select * from touched) b on a.commit_id = b.commit_id and a.file_id < b.file_id
-  where k between 2 and 8 group by 1, 2 having count(*) >= 2),
+  where k between 2 and 50 group by 1, 2 having count(*) >= 2),
 shown as (select * from files where role not in ('generated', 'script')),
 hot as (select id, churn, cognitive_max as complexity, recency, cast(floor(churn * cognitive_max * recency + 0.5) as bigint) as score
   from shown join ch90 on ch90.file_id = id join rec90 on rec90.file_id = id where churn > 0 and cognitive_max > 0)
@@ -56,7 +57,7 @@ def _lines90(r: Relations) -> DataFrame:
 
 
 def _pairs(r: Relations) -> DataFrame:
-    return history.coupling(r.churn, 2, 8)
+    return history.coupling(r.churn, 2, 50)
 
 
 def _hot(r: Relations, k: int | None = None) -> DataFrame:
@@ -99,9 +100,9 @@ def change_coupling(r):
     return _pairs(r).select("file_a", "file_b", "count")
 
 
-@query("select count(*) as skipped from (select commit_id from touched group by 1 having count(*) > 8)")
+@query("select count(*) as skipped from (select commit_id from touched group by 1 having count(*) > 50)")
 def skipped_commits(r):
-    return history.skipped_commits(r.churn, 8)
+    return history.skipped_commits(r.churn, 50)
 
 
 @query("""select case when file_a = 10 then file_b else file_a end as partner, n as count from pairs where file_a = 10 or file_b = 10""")
@@ -140,6 +141,15 @@ def test_ownership(r):
     return history.test_ownership(_links(r), history.author_lines(r.churn))
 
 
+@query(TESTS + """, tl as (select source_id as file_id, author, sum(lines) as lines from links join (select file_id, author, sum(added + deleted) as lines from churn group by 1, 2) l on l.file_id = test_id group by 1, 2),
+c as (select *, sum(lines) over (partition by file_id order by lines desc, author rows unbounded preceding) as upto, sum(lines) over (partition by file_id) as total, row_number() over (partition by file_id order by lines desc, author) as rn from tl),
+o as (select file_id, cast(min(case when upto >= 0.5 * total then rn end) as bigint) as bus_factor from c group by 1), n as (select source_id, count(distinct test_id) as linked_test_count from links group by 1)
+select id, linked_test_count, bus_factor, row_number() over (order by linked_test_count desc, id) as rank from shown join o on file_id = id join n on source_id = id where bus_factor <= 1 order by linked_test_count desc, id limit 10""")
+def test_coverage_silos(r):
+    links = _links(r)
+    return report.test_silos(_shown(r), history.test_ownership(links, history.author_lines(r.churn)), history.linked_test_count(links)).select("id", "linked_test_count", "bus_factor", "rank")
+
+
 @query("select count(distinct author) as authors from w90")
 def author_count(r):
     return history.author_count(r.churn, 90, r.now)
@@ -316,11 +326,21 @@ def coedit_density(r):
     return out.select(F.round("within", 8).alias("within"), F.round("across", 8).alias("across"))
 
 
-@query(""", v as (select s.package as x, dst, cast(count(*) as double) as v from edges join (select * from files where id % 2 = 0) s on s.id = src where dst not in (select id from files where id % 2 = 0) group by 1, 2),
+@query(""", v as (select s.package as x, dst, cast(count(*) as double) as v from edges join (select * from files where role in ('source', 'entry', 'barrel')) s on s.id = src where dst not in (select id from files where role in ('source', 'entry', 'barrel')) group by 1, 2),
 n as (select x, sqrt(sum(v * v)) as n from v group by 1), d as (select a.x, b.x as y, sum(a.v * b.v) as d from v a join v b on a.dst = b.dst and a.x < b.x group by 1, 2)
 select d.x, d.y, round(d / (n1.n * n2.n), 6) as cosine from d join n n1 on n1.x = d.x join n n2 on n2.x = d.y""", windows=False)
 def external_cosine(r):
-    return graph.external_cosine(r.files.where("id % 2 = 0").select("id", F.col("package").alias("cluster")), r.edges).withColumn("cosine", F.round("cosine", 6))
+    return graph.external_cosine(r.files.where("role in ('source', 'entry', 'barrel')").select("id", F.col("package").alias("cluster")), r.edges).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(PART + " select src, dst, count(*) as count from pe where s <> d group by 1, 2", windows=False)
+def package_bridges(r):
+    return graph.bridges(r.files.select("id", F.col("package").alias("cluster")), r.edges)
+
+
+@query(""" select avg(case when n = 1 then 1.0 else 0.0 end) >= 0.9 as fragmented from (select package, count(*) as n from files group by 1)""", windows=False)
+def package_fragmentation(r):
+    return graph.fragmented(r.files.select("id", F.col("package").alias("cluster")))
 
 
 # rules
@@ -493,6 +513,33 @@ def profile_agreement(r):
     return observe.against(_observations(r), p).groupBy("type").agg(F.count("*").alias("seen"), F.count(F.when(F.col("agrees"), 1)).alias("agreeing"))
 
 
+PROFILES = OBS + """, obs2 as (select event_type as type, cast(cast(json_extract(props, '$.k') as bigint) % 3 as varchar) as value, event_id as seq from events),
+per2 as (select type, value, count(*) as n, min(seq) as f from obs2 group by 1, 2), dist2 as (select type, sum(n) as total, max(n) as top from per2 group by 1), dom2 as (select type, value, row_number() over (partition by type order by n desc, f) as rn from per2),
+pa as (select type, value as convention, least(1.0, top / total * 0.85) as confidence from dist join dom using (type) where rn = 1), pb as (select type, value as convention, least(1.0, top / total * 0.85) as confidence from dist2 join dom2 using (type) where rn = 1)"""
+
+
+def _profile(r: Relations, classes: int) -> DataFrame:
+    o = _observations(r) if classes == 5 else r.table("events").select(F.col("event_type").alias("type"), (F.get_json_object("props", "$.k").cast("long") % classes).cast("string").alias("value"), F.col("event_id").alias("seq"), F.col("user_id").alias("file"))
+    return observe.features(observe.distribution(o)).select("type", F.col("dominant").alias("convention"), "confidence")
+
+
+@query(PROFILES + """ select type, pa.convention as before, pb.convention as after, case when pa.confidence is null then 'added' when pb.confidence is null then 'removed' when pa.convention = pb.convention and pa.confidence = pb.confidence then 'unchanged' else 'changed' end as status
+from pa full join pb using (type)""", windows=False)
+def profile_changes(r):
+    return observe.compare(_profile(r, 5), _profile(r, 3))
+
+
+@query(PROFILES + """ select type, case when pa.confidence is null or pb.confidence > pa.confidence then pb.convention else pa.convention end as convention, round(greatest(pa.confidence, pb.confidence), 6) as confidence from pa full join pb using (type)""", windows=False)
+def profile_merged(r):
+    return observe.merge(_profile(r, 5), _profile(r, 3)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(PROFILES + f" select type, round(confidence, 6) as confidence from pa where confidence < {observe.REVIEW}", windows=False)
+def profile_review(r):
+    f = observe.features(observe.distribution(_observations(r)))
+    return observe.review_queue(f).select("type", F.round("confidence", 6).alias("confidence"))
+
+
 @query("""select doc_id as file, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as loc from documents""", windows=False)
 def code_lines(r):
     return r.table("documents").select(F.col("doc_id").alias("file"), P.code_lines(F.col("text")).cast("long").alias("loc"))
@@ -598,10 +645,10 @@ def depends_on(r):
     return symbols.depends_on(r.references, r.edges)
 
 
-@query("""select p_partkey as id, case when p_partkey % 10 = 0 then true else false end as public from part where p_partkey not in (select dst from edges) and p_partkey % 3 = 0""", windows=False)
+@query("""select p_partkey as id, case when p_partkey % 10 = 0 then true else false end as public from part where p_partkey not in (select dst from edges)""", windows=False)
 def unused_exports(r):
     used = r.edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("utilization"))
-    exports = r.files.where("id % 3 = 0").select("id", F.col("id").alias("file_id"))
+    exports = r.files.select("id", F.col("id").alias("file_id"))
     return symbols.unused_exports(exports, used, r.files.where("role = 'barrel'").select(F.col("id").alias("file_id"))).select("id", "public")
 
 
@@ -616,15 +663,15 @@ def reuse_tiers(r):
     return incremental.tiers(prints(d, new), prints(d.where("file_id % 7 != 0"), F.col("text")))
 
 
-@query(""", e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), q as (select * from e where vec_id < 20),
+@query(""", e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), q as (select * from e where vec_id % 100 = 0),
 s as (select q.vec_id as query, q.label as ql, e.vec_id as item, e.label as il, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.vec_id) as rn from q join e on e.vec_id <> q.vec_id),
 h as (select query, count(*) filter (rn <= 10 and ql = il) as hit, min(case when ql = il then rn end) as best, count(*) filter (ql = il) as n from s group by 1)
 select query, round(hit / 10, 6) as p_at_k, round(hit / n, 6) as r_at_k, round(coalesce(1.0 / best, 0), 6) as rr from h where n > 0""", windows=False)
 def retrieval_scores(r):
     e = r.table("embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("il"), F.col("embedding").alias("v"))
-    q = e.where("item < 20").select(F.col("item").alias("query"), F.col("il").alias("ql"), F.col("v").alias("u"))
-    # the queries are a fixed few: each is held against every vector
-    s = e.crossJoin(F.broadcast(q)).where("item != query").withColumn("sim", F.round(P.cosine(F.col("v"), F.col("u")), 9))
+    q = e.where("item % 100 = 0").select(F.col("item").alias("query"), F.col("il").alias("ql"), F.col("v").alias("u"))
+    # a stated set of queries, one row in a hundred, each held against every vector
+    s = e.crossJoin(maybe_broadcast(q, 2048)).where("item != query").withColumn("sim", F.round(P.cosine(F.col("v"), F.col("u")), 9))
     from pyspark.sql import Window
 
     ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item")))

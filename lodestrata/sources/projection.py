@@ -8,6 +8,8 @@ files of symbols. ``CTE`` says the same in SQL.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ class Relations:
             F.col("l_linenumber").cast("long").alias("deleted"),
         )
 
-    @property
+    @cached_property
     def now(self) -> int:
         return self.churn.agg(F.max("epoch")).first()[0] or 0
 

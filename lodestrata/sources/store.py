@@ -141,6 +141,6 @@ class Store:
 
 def prune_plan(snapshots: DataFrame, keep: int = 10, keep_refs: Sequence[str] = ()) -> DataFrame:
     """id, ref, keep: the newest `keep` snapshots and those of kept refs stay."""
-    new = F.row_number().over(Window.orderBy(F.desc("taken_at"), F.desc("id"))) <= keep
-    named = F.col("ref").isin(*keep_refs) if keep_refs else F.lit(False)
-    return snapshots.select("id", "ref", (new | named).alias("keep"))
+    new = snapshots.orderBy(F.desc("taken_at"), F.desc("id")).limit(keep).select("id", F.lit(True).alias("new"))  # `keep` rows at most
+    named = F.coalesce(F.col("ref").isin(*keep_refs), F.lit(False)) if keep_refs else F.lit(False)
+    return snapshots.join(F.broadcast(new), "id", "left").select("id", "ref", (F.coalesce("new", F.lit(False)) | named).alias("keep"))
