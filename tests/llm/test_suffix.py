@@ -2,6 +2,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,6 +189,44 @@ def test_recall_of_fuzzy_passages(make, edits, recall):
     assert len(want) >= 30 and len(got & want) >= recall * len(want), (len(got & want), len(want))
 
 
+def test_every_two_variants_of_a_passage_are_linked(make):
+    """Each changes words of its own, so that no two have long contexts in common
+    and their seeds have other first and last occurrences."""
+    base = words(31, 60)
+    rows = []
+    for k in range(8):
+        own = [f"v{k}x{n}" if n % 10 == k else w for n, w in enumerate(base)]
+        rows.append((k, " ".join([*words(900 + k, 30), *own, *words(950 + k, 30)]), "en"))
+    got = {(r["doc_id"], r["src_doc_id"]) for r in chaining.passages(make(rows), identity=0.75).collect()}
+    assert got >= {(j, i) for j in range(8) for i in range(j)}
+
+
+def test_a_single_seed_is_enough(make):
+    """Runs of equal words of which one alone holds a seed that both texts pick."""
+    r = random.Random(11)
+    found = 0
+    for k in range(400):
+        base = words(20_000 + k, 60)
+        a, b = ([*words(30_000 + 2 * k + x, 20), *base, *words(31_000 + 2 * k + x, 20)] for x in (0, 1))
+        for n in range(r.randrange(5), 60, 5):
+            b[20 + n] = f"q{n}"
+        own = [dict(zip(g.tolist(), at.tolist())) for _, g, at, _ in (chaining._picked(pa.record_batch({"text": [" ".join(t)]}), chaining.K, chaining.W) for t in (a, b))]
+        if len(own[0].keys() & own[1].keys()) == 1:
+            got = covered(chaining.passages(make([(1, " ".join(a), "en"), (2, " ".join(b), "en")])).collect())
+            assert len(got.get(2, set())) >= 50
+            found += 1
+            if found == 2:
+                break
+    assert found == 2
+
+
+def test_copies_give_their_whole_text(make):
+    text = " ".join(words(33, 80))
+    rows = [(3, text, "en"), (1, text, "en"), (2, text, "de"), (2, text, "de"), (4, " ".join(words(34, 20)), "en"), (5, " ".join(words(34, 20)), "en")]
+    got = sorted(tuple(x) for x in chaining.passages(make(rows)).collect())
+    assert got == [(2, 0, 80, 1, 0, 80, 1.0), (3, 0, 80, 1, 0, 80, 1.0)]
+
+
 def best_chain(runs, k, cost):
     """Score of the best chain by trying every predecessor."""
     best = []
