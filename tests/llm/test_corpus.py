@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,18 @@ def test_long_lists_are_split_without_a_loss(spark):
     assert len(got) < every
 
 
+def test_values_are_counted_where_they_meet(spark):
+    r = random.Random(17)
+    rows = [((i, -i), r.sample(range(-300, 300), r.randint(1, 64))) for i in range(200)]
+    many = Counter(v for _, s in rows for v in s)
+    sketches = spark.createDataFrame([(n, len(s), 1 + len(s) // 4, sorted(s)) for n, s in rows], f"node {minhash.NODE}, size int, need int, sketch array<long>")
+    want = sorted((*n, len(s), 1 + len(s) // 4, v, many[v]) for n, s in rows for v in s if many[v] > 1)
+    for buckets in (1, 7, 1000):
+        got = minhash.counted(sketches, buckets).select("node.*", "size", "need", "v", "df").collect()
+        assert sorted(map(tuple, got)) == want
+    assert minhash.counted(sketches.limit(0), 3).count() == 0
+
+
 def test_near_duplicates_of_awkward_rows(make, awkward):
     kept = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in minhash.drop_near(make(awkward)).collect())
     gone = {"7", "8"}  # copies of 6; case doesn't count
