@@ -1,5 +1,6 @@
 import random
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +228,23 @@ def test_copies_give_their_whole_text(make):
     assert got == [(2, 0, 80, 1, 0, 80, 1.0), (3, 0, 80, 1, 0, 80, 1.0)]
 
 
+def test_common_words_of_long_gaps():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (7, 70), (65, 64), (130, 129)):
+        a, b = r.integers(0, 9, n), r.integers(0, 9, m)
+        row = [0] * (m + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+            row = new
+        assert chaining.common_words(a, b) == row[-1]
+    a = np.arange(40_000)
+    began = time.process_time()
+    assert chaining.common_words(a, np.delete(a, slice(100, 40_000, 100))) == 40_000 - 399
+    assert time.process_time() - began < 2  # a row of a table at a time it takes more
+
+
 def best_chain(runs, k, cost):
     """Score of the best chain by trying every predecessor."""
     best = []
