@@ -1,6 +1,7 @@
 import random
 import tempfile
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,19 @@ def test_copies_give_their_whole_text(make):
     assert got == [(2, 0, 80, 1, 0, 80, 1.0), (3, 0, 80, 1, 0, 80, 1.0)]
 
 
+def test_shuffle_files_go_with_the_action_that_made_them(make, spark):
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {p for d in dirs for p in Path(d).glob("*/shuffle_*")}
+
+    before = files()
+    got = chaining.passages(make(corpus()))
+    assert not files() - before
+    assert spark.conf.get(chaining.CLEANUP) == "false"
+    assert got.collect() and sorted(got.collect()) == sorted(got.collect())
+
+
 def test_common_words_of_long_gaps():
     r = np.random.default_rng(5)
     for n, m in ((1, 1), (7, 70), (65, 64), (130, 129)):
