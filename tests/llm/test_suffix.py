@@ -259,6 +259,16 @@ def test_common_words_of_long_gaps():
     assert time.process_time() - began < 2  # a row of a table at a time it takes more
 
 
+def test_whole_texts_are_sent_once_a_pair():
+    run = pa.list_(pa.struct([("b", pa.int32()), ("n", pa.int32()), ("a", pa.int32())]))
+    chains = [[[(n, 4, n)] for n in range(r)] for r in (3, 1, 2)]
+    every = pa.array([[[dict(zip("bna", x)) for x in c] for c in row] for row in chains], pa.list_(run))
+    batch = pa.record_batch({"id": [7, 8, 9], "runs": pa.array([None] * 3, run), "b": [b"x" * 8, b"y" * 8, b"z" * 8], "all": every})
+    for size in (1, 16, 1000):
+        got = pa.Table.from_batches(chaining.each_chain(batch, size)).to_pylist()
+        assert [(r["id"], r["b"][:1], r["runs"][0]["b"]) for r in got] == [(7, b"x", 0), (7, b"x", 1), (7, b"x", 2), (8, b"y", 0), (9, b"z", 0), (9, b"z", 1)]
+
+
 def best_chain(runs, k, cost):
     """Score of the best chain by trying every predecessor."""
     best = []
