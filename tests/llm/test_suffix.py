@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import tempfile
 import time
 from pathlib import Path
@@ -269,6 +271,74 @@ def test_whole_texts_are_sent_once_a_pair():
         assert [(r["id"], r["b"][:1], r["runs"][0]["b"]) for r in got] == [(7, b"x", 0), (7, b"x", 1), (7, b"x", 2), (8, b"y", 0), (9, b"z", 0), (9, b"z", 1)]
 
 
+def judged(pairs):
+    """Of (document, source, chain's word, source's word), each a chain of one seed: those
+    that are let through, and those that alignment accepts."""
+    run = pa.list_(pa.struct([(c, pa.int32()) for c in "bna"]))
+    spot = pa.list_(pa.struct([("id", pa.int64()), ("side", pa.int32()), ("lo", pa.int32()), ("hi", pa.int64())]))
+
+    def asked(kind, around):
+        for side in (0, 1):
+            w = [word_hash(" ".join(p[side])).astype(kind).tobytes() for p in pairs]
+            spots = [[{"id": x, "side": side, "lo": p[2 + side] - around, "hi": p[2 + side] + chaining.K + around}] for x, p in enumerate(pairs)]
+            yield pa.record_batch({"words": pa.array(w, pa.binary()), "spots": pa.array(spots, spot)})
+
+    def rows(tables, *by):
+        return pa.concat_tables(tables, promote_options="default").sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches()
+
+    windows = rows([pa.Table.from_batches(chaining._windows(asked(np.uint8, 0)))], "id", "what")
+    n = len(pairs)
+    own = pa.table({c: pa.array([0] * n, pa.int64()) for c in ("i", "h", "si", "sh")} | {"id": pa.array(range(n), pa.int64()), "side": pa.array([2] * n, pa.int32()), "runs": pa.array([[{"b": p[2], "n": chaining.K, "a": p[3]}] for p in pairs], run)})
+    three = rows([pa.Table.from_batches(chaining._slices(np.uint32)(asked(np.uint32, chaining.AROUND))), own], "id", "side")
+    judge, align = chaining._promising(chaining.LEAST, chaining.IDENTITY, chaining.AROUND), chaining._align(chaining.LEAST, chaining.IDENTITY)
+    return ({x for b in f(iter(own)) for x in b.column("id").to_pylist()} for f, own in ((judge, windows), (align, three)))
+
+
+def test_chains_that_go_no_further_are_no_passages():
+    r, pairs = random.Random(4), []
+    for k in range(600):
+        base, copy, at = words(40_000 + k, r.randint(45, 130)), [], []
+        edits = r.choice((0.0, 0.05, 0.1, 0.15, 0.2))
+        for n, w in enumerate(base):
+            x = r.random()
+            at.append(len(copy) if x >= edits else -1)
+            copy += [w] if x >= edits else [f"z{r.randint(0, 10**6)}"] if x >= edits / 4 else [w, "more"] if x >= edits / 8 else []
+        a, b = (words(50_000 + 2 * k + x, r.choice((0, 10, 60))) for x in (0, 1))
+        seeds = [n for n in range(len(at) - 3) if at[n] >= 0 and all(at[n + x] == at[n] + x for x in range(4))]
+        for n in r.sample(seeds, min(2, len(seeds))):
+            pairs.append(([*b, *copy, *b], [*a, *base, *a], len(b) + at[n], len(a) + n))
+    through, accepted = judged(pairs)
+    assert accepted <= through and len(accepted) >= 500, (len(accepted - through), len(accepted))
+
+
+def test_common_words_beside_a_seed_are_not_enough():
+    """Before, five of 16 words that the other side has as well let a chain through."""
+    r = random.Random(5)
+    few = words(60, 80)
+    sides = [[[*r.choices(few, k=40), *few[:4], *r.choices(few, k=40)] for _ in range(2)] for _ in range(500)]
+    through, accepted = judged([(b, a, 40, 40) for b, a in sides])
+    assert len(through) <= 50 and not accepted
+
+
+def test_workers_give_back_what_they_freed():
+    """In a process of its own: what a task leaves behind stays in its worker beside the
+    executor's heap."""
+    code = """
+import numpy as np, pyarrow as pa, re
+from lodestrata.llm import chaining
+text = " ".join(f"w{x}" for x in np.random.default_rng(1).integers(0, 10**6, 250_000))
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+batch = pa.record_batch({"i": pa.array(range(8), pa.int64()), "h": pa.array(range(8), pa.int64()), "text": [text] * 8})
+before = held()
+for f in (chaining._common(4, 6), chaining._seeds(4, 6, 50, {}, 8), chaining._held(np.uint32)):
+    for _ in chaining.lean(f)(iter([batch])):
+        pass
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert float(got.stdout) < 60  # 32 of them are the tables of powers
+
+
 def best_chain(runs, k, cost):
     """Score of the best chain by trying every predecessor."""
     best = []
