@@ -320,6 +320,17 @@ def test_common_words_beside_a_seed_are_not_enough():
     assert len(through) <= 50 and not accepted
 
 
+def test_texts_of_one_id_stay_apart(make):
+    """The hash of a text goes with its seeds only where others have its id."""
+    passage = words(71, 70)
+    rows = [(i, " ".join([*words(72 + k, 30), *passage[: 70 - k], *words(82 + k, 30)]), "en") for k, i in enumerate((4, 4, 4, 9))]
+    texts = chaining.numbered(make(rows).selectExpr("doc_id i", "xxhash64(text) h", "text"))
+    assert sorted((r["i"], r["h"] == 0) for r in texts.collect()) == [(4, False), (4, False), (4, False), (9, True)]
+    got = chaining.passages(make([*rows, rows[0]])).collect()
+    assert sorted({(r["doc_id"], r["src_doc_id"], r["identity"]) for r in got}) == [(4, 4, 1.0), (9, 4, 1.0)]
+    assert len(got) == 6 and len(passage) - 3 == min(r["end_word"] - r["first_word"] for r in got)  # every two of four documents
+
+
 def test_workers_give_back_what_they_freed():
     """In a process of its own: what a task leaves behind stays in its worker beside the
     executor's heap."""
