@@ -320,6 +320,27 @@ def test_common_words_beside_a_seed_are_not_enough():
     assert len(through) <= 50 and not accepted
 
 
+def test_long_ends_by_themselves_go_as_far(monkeypatch):
+    r = np.random.default_rng(6)
+    held, at, size, step = [], [[], []], [[], []], []
+    for n in r.integers(0, 1500, 120).tolist():
+        b = r.integers(0, 300, n).astype(np.uint32)
+        a = np.where(r.random(n) < r.choice([0.02, 0.1, 0.3]), np.uint32(7), b)
+        a = np.delete(a, slice(n // 2, n // 2 + int(r.integers(0, 4))))
+        step.append(int(r.choice([-1, 1])))
+        for side, w in enumerate((b, a)):
+            at[side].append(sum(map(len, held)) + (len(w) - 1 if step[-1] < 0 else 0))
+            size[side].append(len(w))
+            held.append(w[:: step[-1]])
+    got = []
+    for alone in (1, 512, 1 << 40):
+        monkeypatch.setattr(chaining, "ALONE", alone)
+        ends = chaining.Ends(np.concatenate([*held, np.zeros(1, np.uint32)]), np.array(at), np.array(size), np.array(step))
+        ends.extend()
+        got.append((ends.to.tolist(), ends.same.tolist()))
+    assert got[0] == got[1] == got[2] and sum(got[0][1]) > 10_000
+
+
 def test_texts_of_one_id_stay_apart(make):
     """The hash of a text goes with its seeds only where others have its id."""
     passage = words(71, 70)
