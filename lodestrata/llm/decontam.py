@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.columns import fresh, quoted
 from lodestrata.llm.text import U, chunks, mix, word_hash, words
+from lodestrata.runtime import cut, lean, maybe_broadcast
 
 RATE, RECALL = 0.2, 0.95
 #: Bit samples of each walk; walks at most, and pairs that are made up for each length.
@@ -296,7 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), "text").distinct()
     found = spark.createDataFrame([], OUT)
     for rows in sliced(items.toLocalIterator(), limit):
-        found = found.unionByName(texts.mapInArrow(_scan(spark.sparkContext.broadcast(Index(rows, rate, recall))), OUT))
+        found = found.unionByName(texts.mapInArrow(lean(_scan(spark.sparkContext.broadcast(Index(rows, rate, recall)))), OUT))
     best = F.min(F.struct("distance", "first_word", "end_word")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.first_word").alias("first_word"), F.col("b.end_word").alias("end_word"), F.col("b.distance").alias("distance"))
 
@@ -304,5 +305,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the documents that hold an item; rows with a null doc_id stay."""
     name = fresh(docs, "_dc_id")
-    hit = leaks(docs, benchmark, **kw).select(F.col("doc_id").alias(name)).distinct()
-    return docs.withColumn(name, F.col("doc_id").cast("long")).join(hit, name, "left_anti").select(*map(quoted, docs.columns))
+    hit = cut(leaks(docs, benchmark, **kw).select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, F.col("doc_id").cast("long")).join(maybe_broadcast(hit, 16), name, "left_anti").select(*map(quoted, docs.columns))

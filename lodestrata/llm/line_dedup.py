@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.columns import fresh, quoted
-from lodestrata.runtime import cut, maybe_broadcast
+from lodestrata.runtime import cut, lean, maybe_broadcast
 
 K, W = 2, 1
 #: Words of a line that is a run by itself.
@@ -118,7 +118,7 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W, alone: int = ALONE) -
         F.col("doc_id").cast("long").alias("_ld_id"), F.xxhash64("text").alias("_ld_h"), "text"
     )
     scanned = cut(
-        texts.mapInArrow(_scan(k, w, alone), "_ld_id long, _ld_h long, lines array<long>, fps array<struct<pos:int,fp:long,n:int>>")
+        texts.mapInArrow(lean(_scan(k, w, alone)), "_ld_id long, _ld_h long, lines array<long>, fps array<struct<pos:int,fp:long,n:int>>")
     )
     places = scanned.select("_ld_id", "_ld_h", F.explode("fps").alias("f")).select(
         F.struct(F.col("_ld_id").alias("i"), F.col("_ld_h").alias("h"), F.col("f.pos").alias("p")).alias("at"), F.col("f.fp").alias("fp"), F.col("f.n").alias("n")
@@ -137,7 +137,7 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W, alone: int = ALONE) -
         matched.join(lines, ["_ld_id", "_ld_h"])
         .join(sources, ["src_id", "src_h"])
         .select("_ld_id", "_ld_h", "src_id", "shift", "lines", "src_lines", "at")
-        .mapInArrow(_extend(k), "_ld_id long, _ld_h long, lo int, hi int, src_id long, src_lo int, alone boolean")
+        .mapInArrow(lean(_extend(k)), "_ld_id long, _ld_h long, lo int, hi int, src_id long, src_lo int, alone boolean")
     )
 
 

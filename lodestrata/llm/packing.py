@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.text import chunks, raw
-from lodestrata.runtime import cut
+from lodestrata.runtime import cut, lean
 
 CAPACITY = 2048
 #: Pieces that one task packs.
@@ -122,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """doc_id, h (content hash), n of every row that has words."""
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return texts.mapInArrow(_count, "doc_id long, h long, n long")
+    return texts.mapInArrow(lean(_count), "doc_id long, h long, n long")
 
 
 def _pack(capacity: int):

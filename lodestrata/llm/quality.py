@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.columns import fresh
 from lodestrata.llm.text import U, chunks, mix, raw
-from lodestrata.runtime import checkpoint_dir, cut
+from lodestrata.runtime import checkpoint_dir, cut, lean
 
 ORDER = 5
 WIDTH = 2.25
@@ -55,6 +55,8 @@ BINS = 1000  # quantiles are exact to 1 / BINS
 PER_FILE = 2_000_000
 #: Distinct n-grams that a task holds before it passes them on.
 HELD = 3_000_000
+#: N-grams of a batch that it passes on.
+PASSED = 1 << 16
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         for lang, parts in held.items():
             keys, n = merge(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "g", "c"])
+            for a in range(0, len(keys), PASSED):
+                own = keys[a : a + PASSED].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(own), np.int32))), pa.array(own), pa.array(n[a : a + PASSED])], ["lang", "g", "c"])
         held.clear()
 
     for batch in batches:
@@ -115,7 +119,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 def count(docs: DataFrame) -> DataFrame:
     """lang, g, c: how often each n-gram occurs in each language."""
-    return prepared(docs).mapInArrow(_count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return prepared(docs).mapInArrow(lean(_count), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
@@ -281,12 +285,12 @@ def score(docs: DataFrame, per_file: int = PER_FILE, files: bool = True) -> Data
     url = urlparse(checkpoint_dir(spark))
     if files and url.scheme in ("", "file"):
         folder, slots = os.path.join(url.path, f"perplexity-{uuid.uuid4().hex}"), max(1, -(-model.count() // per_file))
-        keyed = model.mapInArrow(_keyed(slots), "slot long, h long, logp double")
+        keyed = model.mapInArrow(lean(_keyed(slots)), "slot long, h long, logp double")
         keyed.groupBy("slot").applyInPandas(_write(folder, slots), "slot long").agg(F.count("*")).first()
-        totals = texts.mapInArrow(_score(folder, slots), "_q_row long, lang string, n long, total double")
+        totals = texts.mapInArrow(lean(_score(folder, slots)), "_q_row long, lang string, n long, total double")
     else:
         folder = ""
-        grams = texts.distinct().mapInArrow(_profile, "_q_row long, lang string, g long, c long")
+        grams = texts.distinct().mapInArrow(lean(_profile), "_q_row long, lang string, g long, c long")
         once = grams.join(model, ["lang", "g"]).groupBy("_q_row", "lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("total"))
         totals = texts.select("_q_row", "lang").join(once, ["_q_row", "lang"])  # a row each time a text occurs, as above
     out = cut(totals.where("n > 0").select("_q_row", "lang", "n", (-F.col("total") / F.col("n")).alias("logppl")))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,29 @@ def test_pipeline_stages(spark, make, awkward, tmp_path):
     make(rows).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "n_words", "bin_id", "first_word"] and out.count() > 0
+
+
+def test_workers_of_the_pipeline_hold_no_freed_memory(spark, make, tmp_path, monkeypatch):
+    """Every scan of its stages gives back at its end what it has freed."""
+    item = " ".join(words(50, 30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen, back = make([(k, f"{item} {' '.join(words(k // 2, 60))}\n" * 2, "en") for k in range(20)]), [], []
+    kind = type(docs)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **kw: seen.append(f) or whole(self, f, *a, **kw))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).count()
+    monkeypatch.setattr("lodestrata.runtime.give_back", lambda: back.append(1))
+    for f in seen:
+        list(f(iter([])))
+    assert len(seen) >= 10 and len(back) == len(seen)
+
+
+def test_counts_are_passed_on_in_small_batches(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "text": [" ".join(words(k, 40)) for k in range(3)]})
+    want = list(quality._count(iter([batch])))
+    assert len(want) == 2  # one for each language
+    monkeypatch.setattr(quality, "PASSED", 7)
+    got = list(quality._count(iter([batch])))
+    assert max(b.num_rows for b in got) == 7
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(want))

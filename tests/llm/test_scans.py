@@ -189,3 +189,13 @@ def test_decontamination_rows(make, awkward, spark):
     assert kept.columns == make(rows).columns and kept.count() == len(rows) - 1
     assert decontam.leaks(make(rows).limit(0), bench).count() == 0
     assert decontam.leaks(make(rows), bench.limit(0)).count() == 0
+
+
+def test_decontamination_moves_no_documents(make, spark):
+    """The few ids that go are sent to the documents, not both to each other."""
+    item = " ".join(words(50, 30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.decontaminate(make([(None, item, "en"), (40, f"so {item} end", "en"), (41, " ".join(words(52, 60)), "en"), (42, None, "en")]), bench)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {r["doc_id"] for r in kept.collect()} == {None, 41, 42}
