@@ -41,8 +41,11 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """rho, n over shared items of two rankings (item, score); ties by item."""
     j = a.select("item", F.col("score").alias("x")).join(b.select("item", F.col("score").alias("y")), "item")
     r = j.withColumns({"rx": F.row_number().over(Window.orderBy(F.desc("x"), "item")), "ry": F.row_number().over(Window.orderBy(F.desc("y"), "item"))})
-    s = r.agg(F.count("*").alias("n"), F.sum((F.col("rx") - F.col("ry")) * (F.col("rx") - F.col("ry"))).alias("d"))
-    return s.select("n", F.when(F.col("n") > 1, 1 - 6.0 * F.col("d") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("rho"))
+    # ranks are ints, whose squares, and their sum even as longs, may be too large
+    gap = F.col("rx").cast("long") - F.col("ry")
+    s = r.agg(F.count("*").alias("n"), F.sum((gap * gap).cast("decimal(19,0)")).cast("double").alias("d"))
+    n = F.col("n").cast("double")
+    return s.select("n", F.when(n > 1, 1 - 6.0 * F.col("d") / (n * (n * n - 1))).alias("rho"))
 
 
 def top_k_jaccard(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
