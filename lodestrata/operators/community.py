@@ -23,7 +23,8 @@ def greedy(nodes: list, edges: list[tuple]) -> dict:
             total += 1
     degree = [sum(x.values()) for x in near]
     member = list(range(len(order)))
-    live = set(range(len(order)))
+    live = {i for i, x in enumerate(near) if x}  # the others stay alone
+    held = {i: [i] for i in live}
     while total:
         best, pair = 1e-12, None
         for i in sorted(live):
@@ -43,7 +44,10 @@ def greedy(nodes: list, edges: list[tuple]) -> dict:
         near[j] = {}
         degree[i] += degree[j]
         live.remove(j)
-        member = [i if m == j else m for m in member]
+        held[i] += held.pop(j)
+    for i, ms in held.items():
+        for m in ms:
+            member[m] = i
     label = {m: f"c{k}" for k, m in enumerate(sorted(set(member)))}
     return {n: label[member[i]] for n, i in order.items()}
 

@@ -1,11 +1,50 @@
 """Figures that pass what small tables reach."""
 
+import itertools
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from lodestrata.operators import evaluate
+from lodestrata import runtime
+from lodestrata.operators import community, evaluate
+from lodestrata.sources.projection import Relations
+
+
+def most_partitions(df, *keys):
+    """Of the exchanges by exactly these keys."""
+    by = r"hashpartitioning\(" + ", ".join(rf"{k}#\d+L?" for k in keys) + r", (\d+)\)"
+    return max(map(int, re.findall(by, df._jdf.queryExecution().executedPlan().toString())), default=0)
 
 
 def test_spearman_of_many_items(spark):
     up = spark.range(100_000).select(F.col("id").alias("item"), F.col("id").alias("score"))
     assert tuple(evaluate.spearman(up, up.withColumn("score", -F.col("score"))).select("n", "rho").first()) == (100_000, -1.0)
     assert evaluate.spearman(up, up).first()["rho"] == 1.0
+
+
+
+
+def test_edges_take_more_tasks_for_more_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    lines = [(c, rng.randrange(60)) for c in range(300) for _ in range(rng.randrange(9))] + [(None, 1), (None, 2), (None, 1), (7, None)]
+    spark.createDataFrame([(c, f, 1) for c, f in lines], "l_orderkey long, l_partkey long, l_suppkey long").selectExpr(
+        "*", "1 as l_linenumber", "1.0D as l_quantity", "timestamp'2024-01-01' as l_shipdate"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(60).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type", "'n' as p_name", "1 as p_size", "1.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    files = {c: {f for o, f in lines if o == c and f is not None} for c, _ in lines if c is not None}
+    pairs = Counter(p for fs in files.values() for p in itertools.combinations(sorted(fs), 2))
+    edges = Relations(spark, str(tmp_path)).edges
+    assert {(r["src"], r["dst"]): r["weight"] for r in edges.collect()} == {p: n for p, n in pairs.items() if n >= 2}
+    assert most_partitions(edges, "src", "dst") >= sum(pairs.values()) / 100 > 20
+    assert most_partitions(edges, "commit_id") >= 10
+
+
+def test_communities_pass_over_files_without_edges():
+    many = [f"n{i:06}" for i in range(100_000)]
+    at = random.Random(3)
+    pairs = [(a, b) for k in range(0, 900, 3) for a, b in itertools.combinations(at.sample(many[k : k + 3], 3), 2)]
+    found = community.greedy(many, pairs)
+    assert len(set(found.values())) == 100_000 - 600 and all(found[a] == found[b] for a, b in pairs)
