@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodestrata import runtime
-from lodestrata.operators import community, evaluate
+from lodestrata.operators import community, evaluate, symbols
 from lodestrata.sources.projection import Relations
 
 
@@ -48,3 +48,19 @@ def test_communities_pass_over_files_without_edges():
     pairs = [(a, b) for k in range(0, 900, 3) for a, b in itertools.combinations(at.sample(many[k : k + 3], 3), 2)]
     found = community.greedy(many, pairs)
     assert len(set(found.values())) == 100_000 - 600 and all(found[a] == found[b] for a, b in pairs)
+
+
+def test_co_imports_take_more_tasks_for_more_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    refs = {(i, f"{'pq'[s % 2]}#{s}") for i in range(120) for s in rng.sample(range(40), rng.choice([1, 2, 5, 12, 13]))} | {(None, "p#0"), (None, "p#2"), (500, None), (500, "p#0")}
+    own = {i: sorted(s for j, s in refs if j == i and s) for i, _ in refs if i is not None and sum(j == i for j, _ in refs) <= 12}
+    pairs = Counter(p for ss in own.values() for p in itertools.combinations(ss, 2))
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    found = symbols.co_imports(spark.createDataFrame([*refs, *refs], "importer long, symbol string"), guard=12)
+    assert {(r["symbol_a"], r["symbol_b"]): (r["co_imports"], r["cross_file"]) for r in found.collect()} == {(a, b): (n, a[0] != b[0]) for (a, b), n in pairs.items() if n >= 2}
+    assert most_partitions(found, "both") >= sum(pairs.values()) // 100 > 10
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    at = runtime.numbered(spark.range(0, 1000, 1, 7).where("id % 3 = 0"), "n")
+    assert sorted(r["n"] for r in at.collect()) == list(range(334))
