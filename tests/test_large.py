@@ -1,6 +1,7 @@
 """Figures that pass what small tables reach."""
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lodestrata import runtime
-from lodestrata.operators import community, evaluate, symbols
+from lodestrata.operators import community, evaluate, nearest, symbols
 from lodestrata.sources.projection import Relations
 
 
@@ -64,3 +65,38 @@ def test_co_imports_take_more_tasks_for_more_pairs(spark, monkeypatch):
 def test_rows_are_numbered_without_gaps(spark):
     at = runtime.numbered(spark.range(0, 1000, 1, 7).where("id % 3 = 0"), "n")
     assert sorted(r["n"] for r in at.collect()) == list(range(334))
+
+
+def test_blocked_search_equals_every_pair(spark, monkeypatch):
+    rng = random.Random(2)
+    one = lambda: [float(rng.randint(-3, 3)) for _ in range(4)]
+    rows = [(i, rng.choice([1, 2, 2, 3, None]), rng.choice([one(), one(), one(), one(), [1.0, 2.0, 0.0, 1.0], [0.0] * 4])) for i in range(300)]
+    rows += [(300, 8, one()), (301, 8, None), (310, 9, one()), (320, 10, [1.0, None, 2.0, 1.0]), (321, 10, one()), (330, 11, [math.nan, 1.0, 1.0, 1.0]), (331, 11, one()), (340, 12, None), (341, 12, one())]
+    items = spark.createDataFrame(rows, "item long, il int, v array<float>").repartition(3)
+
+    def cosine(u, v):  # in order: NaN, numbers, nothing
+        if u is None or v is None or None in u or None in v:
+            return (0, 0.0)
+        if any(map(math.isnan, u + v)):
+            return (2, 0.0)
+        d = math.hypot(*u) * math.hypot(*v)
+        return (1, round(sum(a * b for a, b in zip(u, v)) / d, 9) + 0.0 if d else 0.0)
+
+    want = {}
+    for q, ql, u in rows:
+        if q % 10 == 0 and ql is not None:
+            order = sorted(((*cosine(u, v), -i, il) for i, il, v in rows if i != q), reverse=True)
+            ranks = [k for k, x in enumerate(order, 1) if x[3] == ql]
+            if ranks:
+                want[q] = (sum(k <= 5 for k in ranks) / 5, sum(k <= 5 for k in ranks) / len(ranks), 1 / ranks[0])
+    asked = items.where("item % 10 = 0").selectExpr("item as query", "il as ql", "v as u")
+    monkeypatch.setattr(nearest, "KEPT", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        monkeypatch.setattr(nearest, "SLICE", 2000)  # some twenty queries
+        got = nearest.scores(items, asked, 5)
+        assert {r["query"]: tuple(r)[1:] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 310 not in want and {300, 320, 330, 340} <= set(want) and sum(x[0] == 0 for x in want.values()) > 3
+    assert nearest.scores(items, asked.limit(0), 5).count() == 0
